@@ -40,11 +40,11 @@ SPREADS = {
 }
 
 
-def series_measures(macro_bars: DataFrame) -> DataFrame:
+def series_measures(macro_bars: DataFrame, *by: str) -> DataFrame:
     """Per series and day, on the series' own calendar: ret, step_bp, zscore, ret_std."""
-    spec = windows.calendar("series")
+    spec = windows.calendar(*by, "series")
     close, ret = F.col("close"), F.col("ret")
-    frame = macro_bars.select("series", "date", "close").withColumns(
+    frame = macro_bars.select(*by, "series", "date", "close").withColumns(
         {
             "ret": windows.change(close, 1, spec),
             "step_bp": windows.step(close, spec) * 10,
@@ -54,7 +54,7 @@ def series_measures(macro_bars: DataFrame) -> DataFrame:
     return frame.withColumn("ret_std", windows.rolling_std(ret, VOL_ROWS, spec))
 
 
-def spreads(measures: DataFrame) -> DataFrame:
+def spreads(measures: DataFrame, *by: str) -> DataFrame:
     """(spread, date, value, step): difference of two series on the union of their days.
 
     NULL where either side is absent; the day-to-day step runs on that union.
@@ -71,21 +71,21 @@ def spreads(measures: DataFrame) -> DataFrame:
             for name, (plus, minus, measure) in SPREADS.items()
         ]
     )
-    legs = measures.select("date", F.explode(F.array_compact(leg)).alias("leg"))
+    legs = measures.select(*by, "date", F.explode(F.array_compact(leg)).alias("leg"))
     value = F.when(F.count("leg.signed") == 2, F.sum("leg.signed"))
-    daily = legs.groupBy(F.col("leg.spread").alias("spread"), "date").agg(value.alias("value"))
-    return daily.withColumn("step", windows.step(F.col("value"), windows.calendar("spread")))
+    daily = legs.groupBy(*by, F.col("leg.spread").alias("spread"), "date").agg(value.alias("value"))
+    return daily.withColumn("step", windows.step(F.col("value"), windows.calendar(*by, "spread")))
 
 
-def macro_features(macro_bars: DataFrame, extra: bool = True) -> DataFrame:
-    """(date, 25 features) on the calendar of the lead series."""
-    measures = series_measures(macro_bars)
+def macro_features(macro_bars: DataFrame, *by: str) -> DataFrame:
+    """(date, 25 features) on the calendar of the lead series, per group of ``by``."""
+    measures = series_measures(macro_bars, *by)
 
     def pick(condition: Column, value: str) -> Column:
         return F.max(F.when(condition, F.col(value)))
 
     own = {name: pick(F.col("series") == series, measure) for name, (series, measure) in SERIES_FEATURES.items()}
-    pair = spreads(measures)
+    pair = spreads(measures, *by)
     both = measures.unionByName(pair, allowMissingColumns=True)
     curve, credit = F.col("spread") == "yield_curve", F.col("spread") == "credit_stress"
     derived = {
@@ -94,8 +94,8 @@ def macro_features(macro_bars: DataFrame, extra: bool = True) -> DataFrame:
         "credit_stress": pick(credit, "value"),
         "credit_stress_chg_1d": pick(credit, "step"),
     }
-    wide = both.groupBy("date").agg(
+    wide = both.groupBy(*by, "date").agg(
         F.max(F.coalesce(F.col("series") == CALENDAR_SERIES, F.lit(False))).alias("_open"),
         *[column.alias(name) for name, column in (own | derived).items()],
     )
-    return wide.where("_open").select("date", *schemas.MACRO_FEATURES)
+    return wide.where("_open").select(*by, "date", *schemas.MACRO_FEATURES)

@@ -77,15 +77,15 @@ def score_articles(flagged: DataFrame, scorer) -> DataFrame:
     return flagged.withColumn("sentiment", scorer(relevant_text(flagged)))
 
 
-def daily_news(scored: DataFrame) -> DataFrame:
-    """(scope, date, sentiment_mean, n): one scope for the market and one per mentioned ticker.
+def daily_news(scored: DataFrame, *by: str) -> DataFrame:
+    """(by, scope, date, sentiment_mean, n): one scope for the market and one per mentioned ticker.
 
     Partial aggregation before the shuffle keeps a scope with most of the articles cheap.
     """
     market = F.when(F.col("business_ctx"), F.lit(config.MARKET_SCOPE))
     scopes = F.array_compact(F.concat(F.array(market), F.col("tickers")))
-    rows = scored.select("date", "sentiment", F.explode(scopes).alias("scope"))
-    return rows.groupBy("scope", "date").agg(
+    rows = scored.select(*by, "date", "sentiment", F.explode(scopes).alias("scope"))
+    return rows.groupBy(*by, "scope", "date").agg(
         F.avg("sentiment").alias("sentiment_mean"), F.count("sentiment").alias("n")
     )
 
@@ -104,14 +104,16 @@ def daily_news_wide(daily: DataFrame, tickers: list[str]) -> DataFrame:
     return daily.groupBy("date").agg(*columns)
 
 
-def ticker_news(daily: DataFrame, tickers: list[str], covered: list[str] | None = None) -> DataFrame:
+def ticker_news(
+    daily: DataFrame, tickers: list[str], covered: list[str] | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
     """(ticker, date, 5 news features) for every day with any news.
 
     ``tickers`` without company coverage of their own read the market signal instead.
     """
     covered = list(config.COMPANY_KEYWORDS) if covered is None else covered
     market = F.col("scope") == config.MARKET_SCOPE
-    days = daily.groupBy("date").agg(
+    days = daily.groupBy(*by, "date").agg(
         F.max(F.when(market, F.col("sentiment_mean"))).alias("news_market_sentiment_mean"),
         F.coalesce(F.max(F.when(market, F.col("n"))), F.lit(0)).alias("news_market_count"),
     )
@@ -123,8 +125,8 @@ def ticker_news(daily: DataFrame, tickers: list[str], covered: list[str] | None
     )
     grid = days.select("*", F.explode(scopes).alias("_s")).select("*", "_s.ticker", "_s.scope").drop("_s")
     company = daily.withColumnsRenamed({"sentiment_mean": "news_company_sentiment_mean", "n": "_n"})
-    joined = grid.join(company, ["scope", "date"], "left")
+    joined = grid.join(company, [*by, "scope", "date"], "left")
     count = F.coalesce(F.col("_n"), F.lit(0))
     return joined.withColumns(
         {"news_company_count": count, "news_company_had_news": (count > 0).cast("int")}
-    ).select("ticker", "date", *schemas.NEWS_FEATURES)
+    ).select(*by, "ticker", "date", *schemas.NEWS_FEATURES)
