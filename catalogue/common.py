@@ -121,9 +121,9 @@ FLAGGED = (
     + names(derived.BUSINESS_SECTIONS)
     + ") OR news_desk IN ("
     + names(derived.BUSINESS_DESKS)
-    + ") AS business_ctx FROM articles), flagged AS (SELECT *, list_filter(["
+    + ") AS business_ctx FROM articles), flagged AS (SELECT *, [x FOR x IN ["
     + ", ".join(_mention(t, w) for t, w in derived.SEGMENT_KEYWORDS.items())
-    + "], x -> x IS NOT NULL) AS tickers FROM ctx)"
+    + "] IF x IS NOT NULL] AS tickers FROM ctx)"
 )
 SCORED = (
     "scored AS (SELECT f.*, CASE WHEN business_ctx OR len(tickers) > 0 "
