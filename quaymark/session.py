@@ -37,6 +37,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage for a table that many jobs reuse; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage: write ``df`` once below the shared folder and read it back.
+
+    Later jobs start from the files, so losing executors costs no recomputation of what came before.
+    """
+    path = work_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
