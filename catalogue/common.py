@@ -1,8 +1,6 @@
 """Helpers shared by the query families: portable output types and SQL building blocks."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quaymark.sources import derived
 
@@ -13,20 +11,17 @@ SHIFT = 0.5123
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Types two engines agree on: rounded doubles, long integers, text for days, times and flags."""
-    out = []
-    for field in df.schema.fields:
-        column, kind = F.col(f"`{field.name}`"), field.dataType
-        if isinstance(kind, T.DoubleType | T.FloatType):
-            column = F.floor(column.cast("double") * 1e6 + SHIFT) / 1e6
-        elif isinstance(kind, T.IntegerType | T.ShortType | T.ByteType):
-            column = column.cast("long")
-        elif isinstance(kind, T.DateType | T.BooleanType):
-            column = column.cast("string")
-        elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        out.append(column.alias(field.name))
-    return df.select(*out)
+    """Types two engines agree on: cut doubles, long integers, text for days, times and flags."""
+    forms = {
+        "double": f"floor(`{{0}}` * 1e6D + {SHIFT}D) / 1e6D",
+        "float": f"floor(cast(`{{0}}` as double) * 1e6D + {SHIFT}D) / 1e6D",
+        "int": "cast(`{0}` as bigint)",
+        "date": "cast(`{0}` as string)",
+        "boolean": "cast(`{0}` as string)",
+        "timestamp": "date_format(`{0}`, 'yyyy-MM-dd HH:mm:ss')",
+        "timestamp_ntz": "date_format(`{0}`, 'yyyy-MM-dd HH:mm:ss')",
+    }
+    return df.selectExpr(*[forms.get(kind, "`{0}`").format(name) + f" AS `{name}`" for name, kind in df.dtypes])
 
 
 def emit(source: str, spec: str) -> str:

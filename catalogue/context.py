@@ -7,6 +7,7 @@ from catalogue.common import ARTICLES, BARS, FLAGGED, emit, names, portable, que
 from catalogue.news import COVERED, LEXICON, LEXICON_SQL, TICKERS, scored
 from quaymark import config, schemas
 from quaymark.operators import audit, options, pulse, sentiment
+from quaymark.session import settle
 from quaymark.sources import derived, fundamentals
 
 
@@ -26,8 +27,8 @@ def feeds(spark, folder):
     """Feeds per symbol plus one reachable symbol without any headline."""
     items = derived.headlines(spark, folder)
     nested = pulse.feeds_from_items(items).withColumn("fetch_ok", F.col("symbol").cast("int") % 7 != 0)
-    quiet = items.select(F.lit("^VIX").alias("symbol")).distinct().withColumns(
-        {"fetch_ok": F.lit(True), "items": F.expr("cast(array() as array<struct<title:string,summary:string>>)")}
+    quiet = spark.createDataFrame(
+        [("^VIX", True, [])], "symbol string, fetch_ok boolean, items array<struct<title:string,summary:string>>"
     )
     return nested.unionByName(quiet)
 
@@ -46,15 +47,15 @@ def fundamentals_flat(spark, folder):
 
 
 def leakage_audit_own(spark, folder):
-    return portable(audit.audit_own(derived.daily_bars(spark, folder)))
+    return portable(audit.audit_own(settle(derived.daily_bars(spark, folder))))
 
 
 def leakage_audit_macro(spark, folder):
-    return portable(audit.audit_macro(derived.daily_bars(spark, folder), derived.macro_bars(spark, folder)))
+    return portable(audit.audit_macro(derived.daily_bars(spark, folder), settle(derived.macro_bars(spark, folder))))
 
 
 def leakage_audit_news(spark, folder):
-    return portable(audit.audit_news(derived.daily_bars(spark, folder), scored(spark, folder), TICKERS, COVERED))
+    return portable(audit.audit_news(derived.daily_bars(spark, folder), settle(scored(spark, folder)), TICKERS, COVERED))
 
 
 CHAIN = (

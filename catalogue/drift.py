@@ -6,6 +6,7 @@ from catalogue.common import ALL_BARS, BARS, MARKET, emit, portable, query
 from quaymark import config
 from quaymark.functions import dates, labels, weights
 from quaymark.operators import drift, estimators
+from quaymark.session import settle
 from quaymark.sources import derived
 
 
@@ -13,8 +14,10 @@ def bars(spark, folder):
     return derived.all_bars(spark, folder)
 
 
-def market(spark, folder):
-    return derived.market_bars(spark, folder)
+def store(spark, folder):
+    """The bar table of queries that read it several times: (all bars, the market's bars)."""
+    table = settle(bars(spark, folder))
+    return table, table.where(F.col("ticker") == derived.MARKET)
 
 
 def forward_returns(spark, folder):
@@ -42,7 +45,7 @@ def shortest_reliable_horizon(spark, folder):
 
 
 def long_horizon_calls(spark, folder):
-    return portable(drift.long_horizon_calls(bars(spark, folder)))
+    return portable(drift.long_horizon_calls(store(spark, folder)[0]))
 
 
 def non_overlapping_windows(spark, folder):
@@ -82,11 +85,11 @@ def weighted_median(spark, folder):
 
 
 def expected_vs_actual(spark, folder):
-    return portable(drift.expected_vs_actual(bars(spark, folder), market(spark, folder)))
+    return portable(drift.expected_vs_actual(*store(spark, folder)))
 
 
 def shrunk_estimate(spark, folder):
-    rows = drift.expected_vs_actual(bars(spark, folder), market(spark, folder))
+    rows = drift.expected_vs_actual(*store(spark, folder))
     return portable(
         rows.where(F.col("estimator") == config.LIVE_ESTIMATOR).select(
             "ticker", "horizon", "expected_n_samples", "expected_return_pct"
@@ -95,20 +98,20 @@ def shrunk_estimate(spark, folder):
 
 
 def estimator_league(spark, folder):
-    return portable(drift.estimator_league(drift.expected_vs_actual(bars(spark, folder), market(spark, folder))))
+    return portable(drift.estimator_league(drift.expected_vs_actual(*store(spark, folder))))
 
 
 def best_estimator(spark, folder):
-    league = drift.estimator_league(drift.expected_vs_actual(bars(spark, folder), market(spark, folder)))
+    league = drift.estimator_league(drift.expected_vs_actual(*store(spark, folder)))
     return portable(league.where(F.col("rank") == 1).select("estimator", "mae_pct_points"))
 
 
 def horizon_track_record(spark, folder):
-    return portable(drift.horizon_track_record(drift.expected_vs_actual(bars(spark, folder), market(spark, folder))))
+    return portable(drift.horizon_track_record(drift.expected_vs_actual(*store(spark, folder))))
 
 
 def live_horizon_forecast(spark, folder):
-    return portable(drift.live_forecast(bars(spark, folder), market(spark, folder)))
+    return portable(drift.live_forecast(*store(spark, folder)))
 
 
 def business_day_offset(spark, folder):

@@ -9,6 +9,7 @@ from catalogue.common import BARS, emit, portable, query
 from quaymark import config
 from quaymark.functions import windows, weights
 from quaymark.operators import backtest, baselines, metrics, selection, splits
+from quaymark.session import settle
 from quaymark.sources import derived
 
 COSTS = {"AUTOMOBILE": 2, "BUILDING": 3, "FURNITURE": 8}
@@ -81,7 +82,7 @@ def regression_metrics(spark, folder):
 
 
 def classification_metrics(spark, folder):
-    marked = splits.chrono_split(persistence(spark, folder), "ticker")
+    marked = settle(splits.chrono_split(persistence(spark, folder), "ticker"))
     test = marked.where(F.col("split") == "test")
     majority = baselines.majority_class(marked.where(F.col("split") == "train"), "ticker")
     floor = test.join(majority, "ticker").withColumns(

@@ -4,6 +4,7 @@ from catalogue.bars import FEATURE_CTES
 from catalogue.common import BARS, MACRO, change, emit, over, portable, query, rolling
 from quaymark import schemas
 from quaymark.operators import asof, features, macro
+from quaymark.session import settle
 from quaymark.sources import derived
 
 MACRO_SPEC = " ".join(f"{c}:f" for c in schemas.MACRO_FEATURES)
@@ -26,14 +27,14 @@ def macro_features(spark, folder):
 
 
 def asof_align_macro(spark, folder):
-    bars = derived.daily_bars(spark, folder).select("ticker", "date", "close")
+    bars = settle(derived.daily_bars(spark, folder).select("ticker", "date", "close"))
     block = macro.macro_features(derived.macro_bars(spark, folder))
     return portable(asof.align_shared(bars, block, schemas.MACRO_FEATURES))
 
 
 def macro_feature_dataset(spark, folder):
     frame = features.feature_table(
-        derived.daily_bars(spark, folder), macro.macro_features(derived.macro_bars(spark, folder))
+        settle(derived.daily_bars(spark, folder)), macro.macro_features(derived.macro_bars(spark, folder))
     )
     columns = schemas.FEATURE_SETS["with_macro"]
     return portable(features.dataset(frame, columns))

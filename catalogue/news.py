@@ -112,10 +112,10 @@ def lexicon_sentiment(spark, folder):
 def lexicon_news_daily(spark, folder):
     """Gate, score with the lexicon, aggregate per scope and day."""
     marked = flagged(spark, folder)
-    texts = marked.select("doc_id", news.relevant_text(marked).alias("text")).where(F.col("text").isNotNull())
-    scores = sentiment.lexicon_sentiment(texts, sentiment.lexicon_table(spark, LEXICON), "doc_id")
-    slim = marked.select("doc_id", "date", "business_ctx", "tickers")
-    return portable(news.daily_news(slim.join(scores.select("doc_id", F.col("compound").alias("sentiment")), "doc_id", "left")))
+    keys = ("doc_id", "date", "business_ctx", "tickers")
+    texts = marked.select(*keys, news.relevant_text(marked).alias("text"))
+    scores = sentiment.lexicon_sentiment(texts, sentiment.lexicon_table(spark, LEXICON), *keys)
+    return portable(news.daily_news(scores.withColumnRenamed("compound", "sentiment")))
 
 
 def _balance_model():

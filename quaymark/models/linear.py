@@ -180,7 +180,7 @@ def fit_logistic(
         )
         sums = moments(at, "_x", "_bw", *keys).join(current.drop("moved"), list(keys))
         current = settle(sums.mapInPandas(newton, shape))
-        if current.agg(F.max("moved")).first()[0] < STEP_TOLERANCE:
+        if (current.agg(F.max("moved")).first()[0] or 0.0) < STEP_TOLERANCE:
             break
 
     raw = F.zip_with("coefficients", "scale", lambda c, s: c / s)

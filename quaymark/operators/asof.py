@@ -1,6 +1,6 @@
 """Backward as-of alignment: each column carries its last known value onto another calendar."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,9 @@ def align_shared(rows: DataFrame, values: DataFrame, columns: list[str], date: s
     marked = values.select(date, *columns).unionByName(
         rows.select(date).distinct(), allowMissingColumns=True
     )
-    merged = marked.groupBy(date).agg(*[F.max(F.col(c)).alias(c) for c in columns])
-    so_far = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    carried = merged.select(date, *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns])
+    merged = marked.groupBy(date).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in columns])
+    so_far = f"ORDER BY `{date}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    carried = merged.selectExpr(f"`{date}`", *[f"last(`{c}`, true) OVER ({so_far}) AS `{c}`" for c in columns])
     return rows.join(carried, date, "left")
 
 
@@ -29,8 +29,6 @@ def align_per_entity(
     incoming = values.select(key, date, *columns).withColumn("_is_row", F.lit(False))
     both = rows.withColumn("_is_row", F.lit(True)).unionByName(incoming, allowMissingColumns=True)
     # Values of the same day sort before the row that may use them (false < true).
-    so_far = (
-        Window.partitionBy(key).orderBy(date, "_is_row").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    carried = both.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
+    so_far = f"PARTITION BY `{key}` ORDER BY `{date}`, _is_row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    carried = both.withColumns({c: F.expr(f"last(`{c}`, true) OVER ({so_far})") for c in columns})
     return carried.where("_is_row").drop("_is_row")

@@ -69,6 +69,14 @@ def audit_own(bars: DataFrame, features=own_features, columns: list[str] = schem
     return _report(_renamed(truncated, "t", columns, "ticker", "date").join(full, ["ticker", "date"], "left"), columns)
 
 
+def _known_by(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """One copy of each row per ``day`` on or after its date, matched decade by decade."""
+    decade = F.floor(F.year("day") / 10).cast("int")
+    spans = days.withColumn("_decade", F.explode(F.sequence(F.lit(0), decade)))
+    placed = rows.withColumn("_decade", F.floor(F.year("date") / 10).cast("int"))
+    return placed.join(spans, "_decade").where(F.col("date") <= F.col("day")).drop("_decade")
+
+
 def audit_macro(bars: DataFrame, macro_bars: DataFrame) -> DataFrame:
     """Aligned cross-market features at each cut day, from all series truncated to that day."""
     columns = schemas.MACRO_FEATURES
@@ -77,7 +85,7 @@ def audit_macro(bars: DataFrame, macro_bars: DataFrame) -> DataFrame:
         cuts.withColumnRenamed("day", "date"), macro.macro_features(macro_bars), columns
     ).withColumnRenamed("date", "day")
     days = cuts.select("day").distinct()
-    known = macro_bars.join(days, macro_bars["date"] <= days["day"])
+    known = _known_by(macro_bars, days)
     rebuilt = _last_known(macro.macro_features(known, "day"), columns, "day")
     pairs = _renamed(full, "f", columns, "ticker", "day").join(_renamed(rebuilt, "t", columns, "day"), "day", "left")
     return _report(pairs, columns)
@@ -96,7 +104,7 @@ def audit_news(
         columns,
     ).withColumnRenamed("date", "day")
     days = cuts.select("day").distinct()
-    known = slim.join(days, slim["date"] <= days["day"])
+    known = _known_by(slim, days)
     rebuilt = news.ticker_news(news.daily_news(known, "day"), tickers, covered, by=("day",))
     truncated = _last_known(rebuilt, columns, "day", "ticker")
     pairs = _renamed(full, "f", columns, "ticker", "day").join(

@@ -80,8 +80,16 @@ def trade_log_for(
     scored: DataFrame, dates: list[dt.date], costs: dict[str, float] = config.TRANSACTION_COST_BPS
 ) -> DataFrame:
     """The same for requested dates; a date without a prediction says why."""
-    asked = scored.select("ticker").distinct().withColumn("date", F.explode(F.array(*[F.lit(d) for d in dates])))
-    return _log(asked.join(prior_day(scored), ["ticker", "date"], "left"), _note(), costs)
+    known = prior_day(scored)
+    row = F.struct("date", F.struct("actual_close", "prior", "_day_no").alias("v"))
+    # Each instrument keeps its rows of the asked dates only, then every asked date is looked up.
+    asked = known.groupBy("ticker").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("date").isin(dates), row))).alias("_found")
+    )
+    looked_up = asked.withColumn("date", F.explode(F.array(*[F.lit(d) for d in dates]))).select(
+        "ticker", "date", F.col("_found")[F.col("date")].alias("_v")
+    )
+    return _log(looked_up.select("ticker", "date", "_v.*"), _note(), costs)
 
 
 def log_summary(log: DataFrame) -> DataFrame:

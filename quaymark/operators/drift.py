@@ -166,6 +166,8 @@ def _market_medians(
     history = forward_panel(market.select("date", "close", F.lit(0).alias("_m")), horizons, "_m").where(
         F.col("fwd").isNotNull()
     )
+    # One market is one window group; spread its rows before they meet the as-of days.
+    history = history.repartition("horizon", "date")
     known = history["end_date"] < days["as_of"] if before_only else F.lit(True)
     pairs = days.join(history, (days["horizon"] == history["horizon"]) & known).select(
         days["horizon"],

@@ -3,8 +3,6 @@
 One exchange by ticker; all windows then share the sort by (ticker, block, row).
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +109,7 @@ def feature_table(bars: DataFrame, macro: DataFrame | None = None, news: DataFra
 
 def complete_rows(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with every listed column present; NaN counts as missing."""
-    keep = reduce(lambda a, b: a & b, [F.col(f"`{name}`").isNotNull() for name in columns])
-    return frame.where(keep)
+    return frame.na.drop(subset=columns)
 
 
 def dataset(features: DataFrame, columns: list[str]) -> DataFrame:

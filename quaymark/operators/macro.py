@@ -78,24 +78,31 @@ def spreads(measures: DataFrame, *by: str) -> DataFrame:
 
 
 def macro_features(macro_bars: DataFrame, *by: str) -> DataFrame:
-    """(date, 25 features) on the calendar of the lead series, per group of ``by``."""
-    measures = series_measures(macro_bars, *by)
+    """(date, 25 features) on the calendar of the lead series, per group of ``by``.
 
-    def pick(condition: Column, value: str) -> Column:
-        return F.max(F.when(condition, F.col(value)))
+    The series are read once: measures per series, one row per day, then the day-to-day steps of the
+    spreads over the days on which either side traded.
+    """
+
+    def pick(series: str, measure: str) -> Column:
+        return F.max(F.when(F.col("series") == series, F.col(measure)))
+
+    columns = {name: pick(series, measure) for name, (series, measure) in SERIES_FEATURES.items()}
+    columns["_open"] = F.count_if(F.col("series") == CALENDAR_SERIES) > 0
+    for name, (plus, minus, measure) in SPREADS.items():
+        columns[name] = pick(plus, measure) - pick(minus, measure)
+        columns[f"_{name}_day"] = F.count_if(F.col("series").isin(plus, minus)) > 0
+    wide = series_measures(macro_bars, *by).groupBy(*by, "date").agg(*[c.alias(n) for n, c in columns.items()])
 
-    own = {name: pick(F.col("series") == series, measure) for name, (series, measure) in SERIES_FEATURES.items()}
-    pair = spreads(measures, *by)
-    both = measures.unionByName(pair, allowMissingColumns=True)
-    curve, credit = F.col("spread") == "yield_curve", F.col("spread") == "credit_stress"
-    derived = {
-        "yield_curve_slope": pick(curve, "value"),
-        "yield_curve_chg_1d_bp": pick(curve, "step") * 10,
-        "credit_stress": pick(credit, "value"),
-        "credit_stress_chg_1d": pick(credit, "step"),
-    }
-    wide = both.groupBy(*by, "date").agg(
-        F.max(F.coalesce(F.col("series") == CALENDAR_SERIES, F.lit(False))).alias("_open"),
-        *[column.alias(name) for name, column in (own | derived).items()],
+    def daily_step(name: str) -> Column:
+        days = windows.calendar(*by, f"_{name}_day")
+        return F.when(F.col(f"_{name}_day"), windows.step(F.col(name), days))
+
+    stepped = wide.withColumns(
+        {
+            "yield_curve_slope": F.col("yield_curve"),
+            "yield_curve_chg_1d_bp": daily_step("yield_curve") * 10,
+            "credit_stress_chg_1d": daily_step("credit_stress"),
+        }
     )
-    return wide.where("_open").select(*by, "date", *schemas.MACRO_FEATURES)
+    return stepped.where("_open").select(*by, "date", *schemas.MACRO_FEATURES)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymark import config, schemas
+from quaymark import config
 
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -112,21 +112,25 @@ def ticker_news(
     ``tickers`` without company coverage of their own read the market signal instead.
     """
     covered = list(config.COMPANY_KEYWORDS) if covered is None else covered
-    market = F.col("scope") == config.MARKET_SCOPE
-    days = daily.groupBy(*by, "date").agg(
-        F.max(F.when(market, F.col("sentiment_mean"))).alias("news_market_sentiment_mean"),
-        F.coalesce(F.max(F.when(market, F.col("n"))), F.lit(0)).alias("news_market_count"),
-    )
-    scopes = F.array(
+    # One entry per scope of a day: the market and the covered tickers.
+    entry = F.struct("scope", F.struct("sentiment_mean", "n").alias("v"))
+    days = daily.groupBy(*by, "date").agg(F.map_from_entries(F.collect_list(entry)).alias("_scopes"))
+    readers = F.array(
         *[
             F.struct(F.lit(t).alias("ticker"), F.lit(t if t in covered else config.MARKET_SCOPE).alias("scope"))
             for t in tickers
         ]
     )
-    grid = days.select("*", F.explode(scopes).alias("_s")).select("*", "_s.ticker", "_s.scope").drop("_s")
-    company = daily.withColumnsRenamed({"sentiment_mean": "news_company_sentiment_mean", "n": "_n"})
-    joined = grid.join(company, [*by, "scope", "date"], "left")
-    count = F.coalesce(F.col("_n"), F.lit(0))
-    return joined.withColumns(
-        {"news_company_count": count, "news_company_had_news": (count > 0).cast("int")}
-    ).select(*by, "ticker", "date", *schemas.NEWS_FEATURES)
+    grid = days.withColumn("_r", F.explode(readers))
+    own, market = F.col("_scopes")[F.col("_r.scope")], F.col("_scopes")[F.lit(config.MARKET_SCOPE)]
+    count = F.coalesce(own["n"], F.lit(0))
+    return grid.select(
+        *by,
+        F.col("_r.ticker").alias("ticker"),
+        "date",
+        own["sentiment_mean"].alias("news_company_sentiment_mean"),
+        count.alias("news_company_count"),
+        (count > 0).cast("int").alias("news_company_had_news"),
+        market["sentiment_mean"].alias("news_market_sentiment_mean"),
+        F.coalesce(market["n"], F.lit(0)).alias("news_market_count"),
+    )

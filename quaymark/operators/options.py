@@ -47,5 +47,5 @@ def implied_vol(chain: DataFrame, today: dt.date, target_days: int = config.OPTI
 def with_unlisted(snapshots: DataFrame, symbols: list[str]) -> DataFrame:
     """Add a row for asked symbols without any chain."""
     asked = snapshots.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-    missing = asked.join(snapshots, "symbol", "left_anti").withColumn("status", F.lit("unavailable"))
-    return snapshots.unionByName(missing, allowMissingColumns=True)
+    joined = asked.join(snapshots, "symbol", "full")
+    return joined.withColumn("status", F.coalesce("status", F.lit("unavailable")))

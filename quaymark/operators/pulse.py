@@ -1,6 +1,6 @@
 """Live headline readout: tri-state news presence and the mean sentiment of the first headlines."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark import config
@@ -32,8 +32,6 @@ def feeds_from_items(items: DataFrame, limit: int = config.PULSE_MAX_ITEMS) -> D
     The rank filter is applied before the shuffle, so a symbol with most of the headlines ships
     at most ``limit`` rows per task.
     """
-    from pyspark.sql import Window
-
     first = Window.partitionBy("symbol").orderBy("position")
     ranked = items.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit)
     nested = F.sort_array(F.collect_list(F.struct("_rank", "title", "summary")))
@@ -46,23 +44,22 @@ def feeds_from_items(items: DataFrame, limit: int = config.PULSE_MAX_ITEMS) -> D
 
 def market_pulse(feeds: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(symbol, n_headlines, avg_compound, had_news, label) of (symbol, fetch_ok, items)."""
-    texts = feeds.where("fetch_ok").select("symbol", F.posexplode(headline_texts(F.col("items"))).alias("pos", "text"))
-    scored = lexicon_sentiment(
-        texts.select(F.struct("symbol", "pos").alias("key"), "text"), lexicon, key="key"
-    )
-    means = scored.groupBy(F.col("key.symbol").alias("symbol")).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("compound").alias("avg_compound")
+    shown = F.when(F.col("fetch_ok"), headline_texts(F.col("items")))
+    texts = feeds.select("symbol", "fetch_ok", F.posexplode_outer(shown).alias("pos", "text"))
+    scored = lexicon_sentiment(texts, lexicon, "symbol", "fetch_ok", "pos")
+    n = F.count("compound")
+    means = scored.groupBy("symbol", "fetch_ok").agg(
+        n.alias("n_headlines"), F.avg("compound").alias("avg_compound")
     )
-    n = F.coalesce("_n", F.lit(0))
     label = (
         F.when(~F.col("fetch_ok"), F.lit("unavailable (fetch failed)"))
-        .when(n == 0, F.lit("no recent news"))
+        .when(F.col("n_headlines") == 0, F.lit("no recent news"))
         .otherwise(labels.sentiment_label(F.col("avg_compound")))
     )
-    return feeds.select("symbol", "fetch_ok").join(means, "symbol", "left").select(
+    return means.select(
         "symbol",
-        n.alias("n_headlines"),
+        "n_headlines",
         "avg_compound",
-        F.when(F.col("fetch_ok"), n > 0).alias("had_news"),
+        F.when(F.col("fetch_ok"), F.col("n_headlines") > 0).alias("had_news"),
         label.alias("label"),
     )

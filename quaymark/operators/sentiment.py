@@ -26,12 +26,16 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-z]+")
 
 
-def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, compound, n_hits) for every text; texts without a lexicon word score 0.
+def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, compound, n_hits) for every text.
 
-    Words of one text stay in one task until summed, so the shuffle carries one row per text.
+    A text without a lexicon word scores 0; a NULL text has no score. Words of one text stay in one
+    task until summed, so the shuffle carries one row per text.
     """
-    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word"))
+    present = F.col(text).isNotNull()
+    words = texts.select(*keys, present.alias("_present"), F.explode_outer(words_of(F.col(text))).alias("word"))
     hits = words.join(lexicon, "word", "left")
     total = F.coalesce(F.sum("valence"), F.lit(0.0))
-    return hits.groupBy(key).agg(compound(total).alias("compound"), F.count("valence").alias("n_hits"))
+    return hits.groupBy(*keys).agg(
+        F.when(F.bool_or("_present"), compound(total)).alias("compound"), F.count("valence").alias("n_hits")
+    )

@@ -37,13 +37,15 @@ def share_split(rows: DataFrame, *keys: str, fraction: float = config.TEST_FRACT
     )
 
 
-def day_split(rows: DataFrame, *keys: str, fraction: float = config.TEST_FRACTION) -> DataFrame:
-    """Whole days: the newest max(fraction of days, 10) days of each group are the test days."""
+def day_split(
+    rows: DataFrame, *keys: str, fraction: float = config.TEST_FRACTION, min_days: int = config.MIN_TEST_DAYS
+) -> DataFrame:
+    """Whole days: the newest max(fraction of days, ``min_days``) days of each group are the test days."""
     group = Window.partitionBy(*keys)
     ranked = rows.withColumn("_day", F.dense_rank().over(group.orderBy("date"))).withColumn(
         "_days", F.max("_day").over(group)
     )
-    n_test = F.greatest(F.floor(F.col("_days") * F.lit(fraction)), F.lit(config.MIN_TEST_DAYS))
+    n_test = F.greatest(F.floor(F.col("_days") * F.lit(fraction)), F.lit(min_days))
     return ranked.withColumn("split", _label(F.col("_day") > F.col("_days") - n_test)).drop("_day", "_days")
 
 

@@ -55,9 +55,15 @@ def summarise(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, intraday.accuracy_by_time(winning, "ticker", "model")
 
 
-def train_intraday(bars: DataFrame, daily: DataFrame, min_rows: int = config.MIN_INTRADAY_ROWS):
+def train_intraday(
+    bars: DataFrame,
+    daily: DataFrame,
+    min_rows: int = config.MIN_INTRADAY_ROWS,
+    min_days: int = config.MIN_TEST_DAYS,
+):
     """(metrics, bucket table) of the grouped candidates of all instruments."""
-    snapshots = settle(splits.day_split(enough(intraday.snapshots(bars, daily), min_rows), "ticker"))
+    usable = enough(intraday.snapshots(bars, daily), min_rows)
+    snapshots = settle(splits.day_split(usable, "ticker", min_days=min_days))
     train, test = snapshots.where("split = 'train'").drop("split"), snapshots.where("split = 'test'").drop("split")
     return summarise(settle(grouped_predictions(train, test)))
 

@@ -228,6 +228,8 @@ def fit_shipped(feature_table: DataFrame, kept: DataFrame, sets: dict[str, list[
     for task in TASKS:
         for name, columns in sets.items():
             here = kept.where((F.col("task") == task) & (F.col("feature_set") == name)).select("ticker", "model")
+            if here.isEmpty():
+                continue
             train = splits.chrono_split(features.dataset(feature_table, columns), "ticker").where("split = 'train'")
             train = train.join(here.where(F.col("model") == LINEAR[task]), "ticker", "left_semi")
             if task == "regression":

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark import config, schemas
@@ -69,18 +69,18 @@ def guard_outage(current: DataFrame, incoming: DataFrame, key: str = "ticker") -
     """Per instrument take ``incoming`` unless it shrank below half of a cached table of > 20 rows.
 
     Instruments that arrive for the first time are taken; instruments that did not arrive are kept.
+    Both tables are read once and meet in one exchange.
     """
-    cached_n = current.groupBy(key).agg(F.count(F.lit(1)).alias("_cached_n"))
-    fresh_n = incoming.groupBy(key).agg(F.count(F.lit(1)).alias("_fresh_n"))
+    tagged = current.withColumn("_fresh", F.lit(False)).unionByName(incoming.withColumn("_fresh", F.lit(True)))
+    group = Window.partitionBy(key)
+    counted = tagged.withColumns(
+        {"_fresh_n": F.count_if("_fresh").over(group), "_cached_n": F.count_if(~F.col("_fresh")).over(group)}
+    )
     shrank = (F.col("_cached_n") > config.GUARD_MIN_ROWS) & (
         F.col("_fresh_n") < F.col("_cached_n") * config.GUARD_RATIO
     )
-    choice = cached_n.join(fresh_n, key, "full").select(
-        key, (F.col("_fresh_n").isNull() | F.coalesce(shrank, F.lit(False))).alias("_keep_cached")
-    )
-    kept = current.join(choice.where("_keep_cached"), key, "left_semi")
-    taken = incoming.join(choice.where(~F.col("_keep_cached")), key, "left_semi")
-    return kept.unionByName(taken)
+    keep_cached = (F.col("_fresh_n") == 0) | shrank
+    return counted.where(F.col("_fresh") != keep_cached).drop("_fresh", "_fresh_n", "_cached_n")
 
 
 def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame) -> None:
