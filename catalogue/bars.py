@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.common import (
-    ALL_BARS, BARS, INTRADAY, MACRO, MARKET, bars_from, change, emit, over, portable, query, rolling,
+    BARS, INTRADAY, MACRO, MARKET, change, emit, portable, query, rolling,
 )
 from quaymark import schemas
 from quaymark.functions import windows
@@ -86,39 +86,17 @@ RETURNS = [f"ret_{k}d" for k in features.RETURN_ROWS]
 SMAS = [f"sma_{k}_ratio" for k in features.MEAN_ROWS]
 
 
-def returns_multi(spark, folder):
-    return portable(
-        _windowed(
-            spark,
-            folder,
-            lambda w: {f"ret_{k}d": windows.change(F.col("close"), k, w) for k in features.RETURN_ROWS},
-        )
-    )
-
-
-def sma_ratios(spark, folder):
-    return portable(
-        _windowed(
-            spark,
-            folder,
-            lambda w: {
-                f"sma_{k}_ratio": F.try_divide(F.col("close"), windows.rolling_mean(F.col("close"), k, w)) - 1
-                for k in features.MEAN_ROWS
-            },
-        )
-    )
+def _prices(*columns):
+    """Price features without the smoothed ones."""
 
+    def run(spark, folder):
+        bars = derived.daily_bars(spark, folder).select("ticker", "date", "close")
+        close = F.col("close")
+        frame = bars.withColumns(features.price_windows(close, windows.calendar("ticker")))
+        frame = frame.withColumns(features.price_columns(close))
+        return portable(frame.select("ticker", "date", *columns))
 
-def bollinger(spark, folder):
-    return portable(
-        _windowed(
-            spark,
-            folder,
-            lambda w: {
-                k: v for k, v in features.price_columns(F.col("close"), w).items() if k.startswith("bb_")
-            },
-        )
-    )
+    return run
 
 
 def volume_features(spark, folder):
@@ -194,10 +172,10 @@ QUERIES = {
     "macro_last_per_day": macro_last_per_day,
     "settled_bars": settled_bars,
     "outage_guard_merge": outage_guard_merge,
-    "returns_multi": returns_multi,
-    "sma_ratios": sma_ratios,
+    "returns_multi": _prices(*RETURNS),
+    "sma_ratios": _prices(*SMAS),
     "rolling_vol": _features("vol_5d", "vol_10d", "vol_20d"),
-    "bollinger": bollinger,
+    "bollinger": _prices("bb_position", "bb_width"),
     "volume_features": volume_features,
     "hl_range_dow": hl_range_dow,
     "rsi_14": _features("rsi_14"),

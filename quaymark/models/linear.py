@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quaymark.session import settle
 
 MAX_STEPS = 25
-STEP_TOLERANCE = 1e-8
+STEP_TOLERANCE = 1e-6
 
 
 def features_array(columns: list[str]) -> Column:

@@ -18,13 +18,18 @@ BAND_ROWS = 20
 RSI_ROWS = 14
 
 
-def price_columns(close: Column, spec) -> dict[str, Column]:
-    """Returns, moving-average ratios and Bollinger bands of the close."""
-    mid = windows.rolling_mean(close, BAND_ROWS, spec)
-    width = windows.rolling_std(close, BAND_ROWS, spec) * 4
-    out = {f"ret_{k}d": windows.change(close, k, spec) for k in RETURN_ROWS}
-    for k in MEAN_ROWS:
-        out[f"sma_{k}_ratio"] = F.try_divide(close, windows.rolling_mean(close, k, spec)) - 1
+def price_windows(close: Column, spec) -> dict[str, Column]:
+    """Helper columns that need the neighbours of a row; each window is computed once."""
+    lags = {f"_lag_{k}": F.lag(close, k).over(spec) for k in RETURN_ROWS}
+    means = {f"_mean_{k}": windows.rolling_mean(close, k, spec) for k in MEAN_ROWS}
+    return lags | means | {"_std": windows.rolling_std(close, BAND_ROWS, spec)}
+
+
+def price_columns(close: Column) -> dict[str, Column]:
+    """Returns, moving-average ratios and Bollinger bands out of the helper columns."""
+    mid, width = F.col(f"_mean_{BAND_ROWS}"), F.col("_std") * 4
+    out = {f"ret_{k}d": F.try_divide(close, F.col(f"_lag_{k}")) - 1 for k in RETURN_ROWS}
+    out |= {f"sma_{k}_ratio": F.try_divide(close, F.col(f"_mean_{k}")) - 1 for k in MEAN_ROWS}
     out["bb_position"] = F.try_divide(close - (mid - width / 2), width)
     out["bb_width"] = F.try_divide(width, mid)
     return out
@@ -58,10 +63,10 @@ def own_features(bars: DataFrame) -> DataFrame:
     close, volume = F.col("close"), F.col("volume")
 
     frame = number_rows(bars.select(schemas.DAILY_BARS.fieldNames()), "ticker")
-    move = windows.step(close, spec)
+    frame = frame.withColumns(price_windows(close, spec) | volume_columns(volume, spec))
+    move = close - F.col("_lag_1")
     frame = frame.withColumns(
-        price_columns(close, spec)
-        | volume_columns(volume, spec)
+        price_columns(close)
         | day_columns()
         | {"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))}
     )

@@ -21,6 +21,7 @@ LABELS = trees.LABELS
 LINEAR = {"regression": "linear_ridge", "classification": "logistic_regression"}
 FLOOR = {"regression": "baseline_zero_return", "classification": "baseline_majority"}
 PERSISTENCE = "baseline_persistence"
+HOLDOUT = -1
 # Order of the candidates inside one task; it settles ties.
 ORDER = [
     "baseline_zero_return", "baseline_majority", "linear_ridge", "logistic_regression",
@@ -87,17 +88,26 @@ def grouped_predictions(train: DataFrame, test: DataFrame, columns: list[str], t
     return by_line.select(narrow).unionByName(baseline_predictions(train, test, task, *keys).select(narrow))
 
 
+def holdout_and_folds(data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fit rows, test rows) of the hold-out split (fold -1) and of the folds of its training region.
+
+    One frame for both, so that every model family is fitted for all of them at once.
+    """
+    marked = splits.chrono_split(data, "ticker")
+    holdout = marked.withColumnRenamed("split", "role").withColumn("fold", F.lit(HOLDOUT))
+    folds = splits.expanding_folds(marked.where("split = 'train'").drop("split"), "ticker")
+    rows = settle(holdout.unionByName(folds))
+    return rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role")
+
+
 def grouped_candidates(data: DataFrame, columns: list[str], task: str) -> DataFrame:
     """Hold-out metrics and fold statistics of the grouped candidates of every instrument."""
-    marked = settle(splits.chrono_split(data, "ticker"))
-    train, test = marked.where("split = 'train'").drop("split"), marked.where("split = 'test'").drop("split")
-    holdout = task_metrics(grouped_predictions(train, test, columns, task, "ticker"), task, "ticker", "model")
-    folded = settle(splits.expanding_folds(train, "ticker"))
-    parts = (folded.where("role = 'train'").drop("role"), folded.where("role = 'test'").drop("role"))
-    fold_scores = task_metrics(
-        grouped_predictions(*parts, columns, task, "ticker", "fold"), task, "ticker", "model", "fold"
+    fit_rows, test = holdout_and_folds(data)
+    predictions = grouped_predictions(fit_rows, test, columns, task, "ticker", "fold")
+    scores = settle(task_metrics(predictions, task, "ticker", "model", "fold"))
+    return with_fold_statistics(
+        scores.where(F.col("fold") == HOLDOUT).drop("fold"), scores.where(F.col("fold") > HOLDOUT), task
     )
-    return with_fold_statistics(holdout, fold_scores, task)
 
 
 def with_fold_statistics(holdout: DataFrame, fold_scores: DataFrame, task: str) -> DataFrame:
