@@ -164,7 +164,8 @@ def intraday_ridge(spark, folder):
     pair = ["ret_since_open", "pos_in_range"]
     fitted = linear.fit_ridge(marked.where("split = 'train'"), pair, intraday_training.TARGET, "ticker")
     test = linear.score_linear(marked.where("split = 'test'"), fitted, pair, "prediction", "ticker")
-    return portable(metrics.regression_metrics(test, "ticker", actual=intraday_training.TARGET))
+    fitted_only = test.where(F.col("prediction").isNotNull())
+    return portable(metrics.regression_metrics(fitted_only, "ticker", actual=intraday_training.TARGET))
 
 
 def intraday_training_summary(spark, folder):

@@ -118,8 +118,8 @@ def dashboard_fields(spark, folder):
             "recent5d_cum_pct",
             F.col("four_horizon")["1 year"].alias("one_year"),
             F.size("expected_vs_actual").alias("n_checked"),
-            F.col("expected_vs_actual")[0]["horizon"].alias("first_checked"),
-            F.col("expected_vs_actual")[1]["error_pts"].alias("second_error"),
+            F.get("expected_vs_actual", 0)["horizon"].alias("first_checked"),
+            F.get("expected_vs_actual", 1)["error_pts"].alias("second_error"),
             F.col("horizon_forecast")["6 months"]["predicted_price"].alias("six_month_price"),
             F.col("horizon_forecast")["12 months"]["historical_error_pts"].alias("year_error"),
             F.col("fundamentals.sector").alias("sector"),
@@ -206,7 +206,7 @@ FIELD_CTES = (
     "(SELECT test_hit_rate FROM rates WHERE rates.ticker = c.ticker AND rates.horizon = '1 year') AS one_year, "
     "(SELECT count(*) FROM ev WHERE ev.ticker = c.ticker) AS n_checked, "
     "(SELECT arg_min(horizon, target_date) FROM ev WHERE ev.ticker = c.ticker) AS first_checked, "
-    "(SELECT error_pct_points FROM ev WHERE ev.ticker = c.ticker AND horizon = '6 months') AS second_error, "
+    "(SELECT list(error_pct_points ORDER BY target_date)[2] FROM ev WHERE ev.ticker = c.ticker) AS second_error, "
     "(SELECT predicted_price FROM lf WHERE lf.ticker = c.ticker AND horizon = '6 months') AS six_month_price, "
     "(SELECT error_pct_points FROM ev WHERE ev.ticker = c.ticker AND horizon = '12 months') AS year_error, "
     "(SELECT CASE WHEN trailing_pe IS NOT NULL THEN sector END FROM fu WHERE list_extract(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], CAST(split_part(symbol, '#', 2) AS INTEGER) + 1) = c.ticker AND CAST(split_part(symbol, '#', 2) AS INTEGER) < 5) AS sector, "
