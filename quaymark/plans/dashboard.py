@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaymark import config
 
@@ -85,7 +86,18 @@ def dashboard(
     ]
     for part in parts:
         head = head.join(part, "ticker", "left")
-    return head
+    kinds = {name: head.schema[name].dataType for name in ("expected_vs_actual", "horizon_forecast")}
+    no_rows = F.array().cast(kinds["expected_vs_actual"])
+    forecast = kinds["horizon_forecast"]
+    no_entries = F.map_from_arrays(
+        F.array().cast(T.ArrayType(forecast.keyType)), F.array().cast(T.ArrayType(forecast.valueType))
+    )
+    return head.withColumns(
+        {
+            "expected_vs_actual": F.coalesce("expected_vs_actual", no_rows),
+            "horizon_forecast": F.coalesce("horizon_forecast", no_entries),
+        }
+    )
 
 
 def track_record_document(record: DataFrame) -> DataFrame:
