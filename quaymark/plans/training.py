@@ -22,6 +22,7 @@ LINEAR = {"regression": "linear_ridge", "classification": "logistic_regression"}
 FLOOR = {"regression": "baseline_zero_return", "classification": "baseline_majority"}
 PERSISTENCE = "baseline_persistence"
 HOLDOUT = -1
+COEFFICIENTS = "ticker string, task string, model string, columns array<string>, intercept double, coefficients array<double>"
 # Order of the candidates inside one task; it settles ties.
 ORDER = [
     "baseline_zero_return", "baseline_majority", "linear_ridge", "logistic_regression",
@@ -267,6 +268,8 @@ def fit_shipped(feature_table: DataFrame, kept: DataFrame, sets: dict[str, list[
                     F.array(F.lit(1.0)).alias("coefficients"),
                 )
             )
+    if not parts:
+        return feature_table.sparkSession.createDataFrame([], COEFFICIENTS)
     return linear.stack(parts)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quaymark import schemas
 from quaymark.models import linear, store, trees
-from quaymark.operators import features, intraday
-from quaymark.plans import intraday_training, predict, training
+from quaymark.operators import features, intraday, splits
+from quaymark.plans import intraday_training, predict, shipping, training
 from quaymark.session import work_path
 from quaymark.sources import derived
 from quaymark.streaming import bars as stream_bars
@@ -101,17 +101,20 @@ def test_training_end_to_end(spark, own):
     assert training.ticker_summary(won, kept).where(F.col("baseline_reg_rmse").isNull()).count() == 0
 
 
-def test_tree_candidates_save_and_load(spark, own):
-    market = features.dataset(own.where("ticker = 'MARKET'"), schemas.OWN_FEATURES)
-    plan = training.TreePlan(
-        draws=1, tuning_folds=2, recency=True,
+def tiny_plan(recency):
+    return training.TreePlan(
+        draws=1, tuning_folds=2, recency=recency,
         grids={
             "forest": {"numTrees": [3], "maxDepth": [2], "minInstancesPerNode": [5], "featureSubsetStrategy": ["sqrt"]},
             "boost": {"maxIter": [2], "maxDepth": [2], "stepSize": [0.1]},
         },
         probe={"numTrees": 3, "maxDepth": 2, "minInstancesPerNode": 5},
     )
-    metrics_table, models, chosen = training.tree_candidates(market, schemas.OWN_FEATURES, "regression", plan)
+
+
+def test_tree_candidates_save_and_load(spark, own):
+    market = features.dataset(own.where("ticker = 'MARKET'"), schemas.OWN_FEATURES)
+    metrics_table, models, chosen = training.tree_candidates(market, schemas.OWN_FEATURES, "regression", tiny_plan(True))
     rows = {r["model"]: r for r in metrics_table.collect()}
     assert set(rows) == {
         "random_forest_tuned", "hist_gradient_boosting_tuned", "random_forest_recency_weighted",
@@ -127,6 +130,37 @@ def test_tree_candidates_save_and_load(spark, own):
     assert both.where("p <> q").count() == 0
 
 
+def test_stored_tree_and_vote_are_served(spark, own):
+    market = own.where("ticker = 'MARKET'")
+    sets = {"baseline": ["ret_1d", "hl_range", "vol_change"]}
+    run = shipping.train(market, sets, tiny_plan(False))
+    assert run.comparison.count() == 12 and run.kept.count() == 2
+    forced = F.when(F.col("task") == "regression", F.lit("voting_ensemble")).otherwise(F.lit("random_forest_tuned"))
+    run.kept = run.kept.withColumn("model", forced)
+    folder = work_path(spark, "store")
+    manifest = shipping.ship(market, run, folder, sets)
+    assert {(r["task"], r["model"]) for r in manifest.collect()} == {
+        ("regression", "voting_ensemble"), ("classification", "random_forest_tuned"),
+    }
+    served = shipping.serve(spark, market, folder)
+    assert served.count() == market.count()
+    assert served.where("complete").count() == features.complete_rows(market, sets["baseline"]).count()
+    assert served.where("up_probability < 0 or up_probability > 1").count() == 0
+    assert set(shipping.reports(run, market, sets)) == {"model_comparison", "walk_forward_stability", "ticker_summary"}
+
+
+def test_intraday_tree_candidates(spark):
+    folder = "/root/testdata/sf0.01"
+    snaps = intraday.snapshots(derived.intraday_bars(spark, folder), derived.event_days(spark, folder))
+    marked = splits.day_split(snaps.where("ticker = 'click'"), "ticker", min_days=3).persist()
+    small = {"numTrees": 3, "maxDepth": 2}, {"maxIter": 2, "maxDepth": 2}
+    predictions, models = intraday_training.tree_predictions(
+        marked.where("split = 'train'"), marked.where("split = 'test'"), *small
+    )
+    table, buckets = intraday_training.summarise(predictions)
+    assert table.count() == 2 and set(models) == {"random_forest", "hist_gradient_boosting"} and buckets.count() > 0
+
+
 def test_search_draws_are_seeded():
     assert trees.draws("forest", 10) == trees.draws("forest", 10) and len(trees.draws("boost", 10)) == 10
     assert len(trees.draws("boost", 99, grid={"maxIter": [1, 2]})) == 2
