@@ -99,7 +99,7 @@ SMALL_TREES = training.TreePlan(
 
 def soft_vote(spark, folder):
     """Forest, boosting and their vote on the market index, with fold statistics."""
-    table, _, _ = training.tree_candidates(market_data(spark, folder), schemas.OWN_FEATURES, "classification", SMALL_TREES)
+    table, _, _, _ = training.tree_candidates(market_data(spark, folder), schemas.OWN_FEATURES, "classification", SMALL_TREES)
     return portable(table)
 
 

@@ -5,14 +5,20 @@ from pyspark.sql import functions as F
 
 from quaymark import config
 from quaymark.operators import backtest, drift, metrics, splits
+from quaymark.operators.features import complete_rows
 
 
-def held_out(scored: DataFrame, targets: DataFrame, models: DataFrame | None = None) -> DataFrame:
+def held_out(
+    scored: DataFrame, targets: DataFrame, models: DataFrame | None = None, required: list[str] | None = None
+) -> DataFrame:
     """RMSE, balanced accuracy and days of the shipped models on the newest 15% of complete rows.
 
     ``scored`` has pred_return and up_probability per day; ``targets`` the two targets per day.
+    ``required`` also asks for these feature columns, so that all instruments are judged on rows
+    with the full feature set, whichever set their models use.
     """
-    rows = scored.where("complete").join(targets, ["ticker", "date"])
+    usable = complete_rows(scored, required) if required else scored
+    rows = usable.where("complete").join(targets, ["ticker", "date"])
     test = splits.share_split(rows, "ticker").where("split = 'test'")
     errors = metrics.regression_metrics(test, "ticker", prediction="pred_return").select(
         "ticker", F.col("rmse").alias("held_out_test_rmse")

@@ -38,7 +38,7 @@ def next_day(
 
 
 def status_text(minutes_left: Column) -> Column:
-    open_text = F.format_string("%.0f min until close", minutes_left)
+    open_text = F.format_string("%d min until close", F.bround(minutes_left).cast("long"))
     return F.when(minutes_left <= 0, F.lit("closed for the day")).otherwise(open_text)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quaymark import schemas
 from quaymark.functions import weights
 from quaymark.models import linear, trees
-from quaymark.operators import features, splits
+from quaymark.operators import features, metrics, splits
 from quaymark.plans import training
 from quaymark.session import settle
 
@@ -51,8 +51,8 @@ def train(
             parts.append(training.comparison_rows(training.grouped_candidates(data, columns, task), name))
             for ticker in tickers:
                 own = data.where(F.col("ticker") == ticker)
-                rows, models, chosen = training.tree_candidates(own, columns, task, plan)
-                found[ticker, name, task] = (models, chosen)
+                rows, models, chosen, specs = training.tree_candidates(own, columns, task, plan)
+                found[ticker, name, task] = (models, chosen, specs)
                 parts.append(training.comparison_rows(settle(rows), name))
     comparison = linear.stack(parts)
     missing = [c for c in ("rmse", "balanced_accuracy") if c not in comparison.columns]
@@ -74,7 +74,7 @@ def ship(table: DataFrame, run: Run, folder: str, sets: dict[str, list[str]] = s
     manifest = []
     for row in _tree_winners(run.kept):
         ticker, task, model, name = row
-        models, chosen = run.trees[ticker, name, task]
+        models, chosen, _ = run.trees[ticker, name, task]
         members = VOTERS if model == VOTE else [model]
         trees.save_models({m: models[m] for m in members}, f"{folder}/trees/{ticker}/{task}")
         manifest.append((ticker, task, model, chosen))
@@ -134,12 +134,36 @@ def serve(spark: SparkSession, table: DataFrame, folder: str) -> DataFrame:
     return scored.withColumn("complete", complete)
 
 
+def tree_stability(
+    data: DataFrame, columns: list[str], task: str, model: str, specs: dict, kept: DataFrame
+) -> DataFrame:
+    """Full-history fold statistics of one instrument's kept tree model."""
+    scores = training.tree_fold_scores(data, columns, task, specs)
+    here = kept.where(F.col("task") == task).select("ticker", "task", "model", F.col("metric").alias("single_window_metric"))
+    if scores is None:
+        return here.limit(0).withColumns(
+            {"walk_forward_mean": F.lit(0.0), "walk_forward_std": F.lit(0.0), "n_folds": F.lit(0).cast("long")}
+        )
+    stats = metrics.fold_statistics(
+        scores.where(F.col("model") == model), "ticker", "model", score=training.main_metric(task)
+    ).withColumnsRenamed({"fold_mean": "walk_forward_mean", "fold_std": "walk_forward_std"})
+    return here.join(stats, ["ticker", "model"]).select(
+        "ticker", "task", "model", "single_window_metric", "walk_forward_mean", "walk_forward_std", "n_folds"
+    )
+
+
 def reports(run: Run, table: DataFrame, sets: dict[str, list[str]] = schemas.FEATURE_SETS) -> dict[str, DataFrame]:
     """The training reports by name."""
     data = {name: features.dataset(table, columns) for name, columns in sets.items()}
+    stability = training.stability_report(data, run.kept, sets)
+    for ticker, task, model, name in _tree_winners(run.kept):
+        _, chosen, specs = run.trees[ticker, name, task]
+        own = data[name].where(F.col("ticker") == ticker)
+        wanted = {k: v for k, v in specs.items() if k == model or model == VOTE}
+        stability = stability.unionByName(tree_stability(own, chosen, task, model, wanted, run.kept))
     return {
         "model_comparison": run.comparison,
-        "walk_forward_stability": training.stability_report(data, run.kept, sets),
+        "walk_forward_stability": stability,
         "ticker_summary": training.ticker_summary(run.winners, run.kept),
     }
 

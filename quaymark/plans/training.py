@@ -129,21 +129,53 @@ def _with_recency(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_recency", weights.recency_by_rows("ticker"))
 
 
+def _with_linear(fit_rows: DataFrame, score_rows: DataFrame, columns: list[str], task: str) -> DataFrame:
+    scored = linear_predictions(fit_rows, score_rows, columns, task, "ticker")
+    return scored.withColumnRenamed("prediction", "_linear")
+
+
 def _tree_predictions(wide: DataFrame, fitted: dict, task: str, keep: list[str]) -> DataFrame:
     """Long predictions of the fitted trees and of the vote with the linear member in ``_linear``."""
     for name, model in fitted.items():
         wide = trees.score_tree(wide, model, task, f"_{name}")
     values = {name: F.col(f"_{name}") for name in fitted}
-    values["voting_ensemble"] = (
-        F.col("_linear") + F.col("_random_forest_tuned") + F.col("_hist_gradient_boosting_tuned")
-    ) / 3
+    if {"random_forest_tuned", "hist_gradient_boosting_tuned"} <= set(fitted):
+        values["voting_ensemble"] = (
+            F.col("_linear") + F.col("_random_forest_tuned") + F.col("_hist_gradient_boosting_tuned")
+        ) / 3
     pairs = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in values.items()])
     fixed = ["ticker", "date", LABELS[task], *keep]
     return wide.select(*fixed, F.explode(pairs).alias("_p")).select(*fixed, "_p.*")
 
 
+def tree_fold_scores(
+    rows: DataFrame, columns: list[str], task: str, specs: dict, workers: int = 4
+) -> DataFrame | None:
+    """Metrics of the trees and their vote on every expanding fold of one instrument's rows.
+
+    Each fold refits with the given settings, recency counted from the fold's own end.
+    """
+    folded = settle(splits.expanding_folds(rows, "ticker"))
+
+    def one_fold(fold: int) -> DataFrame:
+        part = folded.where(F.col("fold") == fold)
+        fit_rows = settle(_with_recency(part.where("role = 'train'")))
+        refitted = {
+            name: trees.fit_weighted(fit_rows, columns, kind, task, params, recency)
+            for name, (kind, params, recency) in specs.items()
+        }
+        wide = _with_linear(fit_rows, part.where("role = 'test'"), columns, task)
+        return _tree_predictions(wide, refitted, task, ["fold"])
+
+    folds = [row["fold"] for row in folded.select("fold").distinct().orderBy("fold").collect()]
+    if not folds:
+        return None
+    with ThreadPoolExecutor(workers) as pool:
+        return task_metrics(linear.stack(list(pool.map(one_fold, folds))), task, "ticker", "model", "fold")
+
+
 def tree_candidates(data: DataFrame, columns: list[str], task: str, plan: TreePlan = TreePlan()):
-    """Tree and voting candidates of the one instrument in ``data``: (metrics with folds, models, columns).
+    """Tree and voting candidates of the one instrument in ``data``: (metrics with folds, models, columns, settings).
 
     Class balance and recency weights multiply; the vote's members carry no recency weights. Folds
     refit everything on rows of the training region only, with recency counted from the fold's end.
@@ -159,34 +191,17 @@ def tree_candidates(data: DataFrame, columns: list[str], task: str, plan: TreePl
     with ThreadPoolExecutor(plan.workers) as pool:
         found = list(pool.map(lambda item: _tree_candidate(train, chosen, task, *item, plan), wanted))
 
-    def linear_column(fit_rows: DataFrame, score_rows: DataFrame) -> DataFrame:
-        scored = linear_predictions(fit_rows, score_rows, chosen, task, "ticker")
-        return scored.withColumnRenamed("prediction", "_linear")
-
     models = {name: model for name, _, _, _, model in found}
-    holdout = task_metrics(_tree_predictions(linear_column(train, test), models, task, []), task, "ticker", "model")
-
-    folded = settle(splits.expanding_folds(train.drop("_recency"), "ticker"))
+    wide = _with_linear(train, test, chosen, task)
+    holdout = task_metrics(_tree_predictions(wide, models, task, []), task, "ticker", "model")
 
-    def one_fold(fold: int) -> DataFrame:
-        part = folded.where(F.col("fold") == fold)
-        fit_rows = settle(_with_recency(part.where("role = 'train'")))
-        refitted = {
-            name: trees.fit_weighted(fit_rows, chosen, kind, task, params, recency)
-            for name, kind, params, recency, _ in found
-        }
-        wide = linear_column(fit_rows, part.where("role = 'test'"))
-        return _tree_predictions(wide, refitted, task, ["fold"])
-
-    folds = [row["fold"] for row in folded.select("fold").distinct().orderBy("fold").collect()]
-    with ThreadPoolExecutor(plan.workers) as pool:
-        per_fold = list(pool.map(one_fold, folds))
-    if not per_fold:
+    specs = {name: (kind, params, recency) for name, kind, params, recency, _ in found}
+    fold_scores = tree_fold_scores(train.drop("_recency"), chosen, task, specs, plan.workers)
+    if fold_scores is None:
         nothing = F.lit(None).cast("double")
         empty = holdout.withColumns({"fold_mean": nothing, "fold_std": nothing, "n_folds": F.lit(0).cast("long")})
-        return empty.withColumn("task", F.lit(task)), models, chosen
-    fold_scores = task_metrics(linear.stack(per_fold), task, "ticker", "model", "fold")
-    return with_fold_statistics(holdout, fold_scores, task), models, chosen
+        return empty.withColumn("task", F.lit(task)), models, chosen, specs
+    return with_fold_statistics(holdout, fold_scores, task), models, chosen, specs
 
 
 def comparison_rows(candidates: DataFrame, feature_set: str) -> DataFrame:

@@ -114,7 +114,7 @@ def tiny_plan(recency):
 
 def test_tree_candidates_save_and_load(spark, own):
     market = features.dataset(own.where("ticker = 'MARKET'"), schemas.OWN_FEATURES)
-    metrics_table, models, chosen = training.tree_candidates(market, schemas.OWN_FEATURES, "regression", tiny_plan(True))
+    metrics_table, models, chosen, _ = training.tree_candidates(market, schemas.OWN_FEATURES, "regression", tiny_plan(True))
     rows = {r["model"]: r for r in metrics_table.collect()}
     assert set(rows) == {
         "random_forest_tuned", "hist_gradient_boosting_tuned", "random_forest_recency_weighted",
@@ -146,7 +146,11 @@ def test_stored_tree_and_vote_are_served(spark, own):
     assert served.count() == market.count()
     assert served.where("complete").count() == features.complete_rows(market, sets["baseline"]).count()
     assert served.where("up_probability < 0 or up_probability > 1").count() == 0
-    assert set(shipping.reports(run, market, sets)) == {"model_comparison", "walk_forward_stability", "ticker_summary"}
+    tables = shipping.reports(run, market, sets)
+    assert set(tables) == {"model_comparison", "walk_forward_stability", "ticker_summary"}
+    assert {(r["model"], r["n_folds"]) for r in tables["walk_forward_stability"].collect()} == {
+        ("voting_ensemble", 4), ("random_forest_tuned", 4),
+    }
 
 
 def test_intraday_tree_candidates(spark):
