@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogue.bars import FEATURE_CTES
-from catalogue.common import ARTICLES, BARS, FLAGGED, emit, names, portable, query
+from catalogue.common import BARS, emit, names, portable, query
 from catalogue.news import COVERED, LEXICON, LEXICON_SQL, TICKERS, scored
 from quaymark import config, schemas
 from quaymark.operators import audit, options, pulse, sentiment

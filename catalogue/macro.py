@@ -1,7 +1,7 @@
 """Cross-market features and as-of alignment."""
 
 from catalogue.bars import FEATURE_CTES
-from catalogue.common import BARS, MACRO, change, emit, over, portable, query, rolling
+from catalogue.common import BARS, MACRO, change, emit, portable, query, rolling
 from quaymark import schemas
 from quaymark.operators import asof, features, macro
 from quaymark.session import settle

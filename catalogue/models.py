@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.bars import FEATURE_CTES
-from catalogue.common import BARS, emit, portable, query
+from catalogue.common import emit, portable, query
 from catalogue.intraday import CTES as INTRADAY_CTES
 from catalogue.intraday import DAY_SPLIT
 from catalogue.news import COVERED, TICKERS, scored

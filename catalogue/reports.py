@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalogue import drift as drift_queries
 from catalogue.common import EVENT_DAYS, INTRADAY, emit, portable, query
 from catalogue.context import FUND
-from catalogue.evaluation import COSTS, DAYS, RECENT, REG, ROWS, SUMMARY
+from catalogue.evaluation import COSTS, DAYS, RECENT, ROWS, SUMMARY
 from catalogue.bars import RET1
 from catalogue.common import BARS
 from catalogue.intraday import CONTEXT, RUNNING, SNAPS

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quaymark import schemas
-from quaymark.functions import dates
 from quaymark.models import linear
 from quaymark.operators import intraday
 
