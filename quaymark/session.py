@@ -1,7 +1,10 @@
 """Session defaults and the shared working folder."""
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +28,32 @@ def build_session(app: str = "quaymark", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a private one only on a local master where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quaymark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_quaymark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, str(source.relative_to(package.parent)))
+    target = Path(tempfile.mkdtemp(prefix="quaymark-ship-")) / "quaymark.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._quaymark_shipped = True
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/quaymark/{name}-{uuid.uuid4().hex}"
