@@ -1,8 +1,9 @@
 """The registered queries of the operators, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import common, exact_dedup, mixing
+from quaymark.llm import common, exact_dedup, html_text, language, mixing, token_store, toxicity
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,9 +15,31 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(common.table(spark, folder, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, folder, "labels")))
+
+
+def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return token_store.read_tokens(token_store.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(common.table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op9_token_output": op9_token_output,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
