@@ -19,8 +19,8 @@ from quaymark.llm import common
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-7:"
-#: A ticket has 48 bits; the point where a source's draw ends is found 16 bits at a time.
-LEVEL = 65536
+#: A ticket has 48 bits; the point where a source's draw ends is found by its high 12, then 12 more, then the rest.
+LEVEL = 1 << 24
 
 
 def word_count(text: Column) -> Column:
@@ -78,8 +78,8 @@ def _crossing(counted: DataFrame, level: str) -> DataFrame:
 
 def _draw_ends(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``source, last``: the highest ticket that a source's extra repetition takes."""
-    first = F.shiftright("ticket", 32)
-    second = F.shiftright("ticket", 16)
+    first = F.shiftright("ticket", 36)
+    second = F.shiftright("ticket", 24)
 
     def inside(rows: DataFrame, at: DataFrame, *keys: str) -> DataFrame:
         same = rows["source"].eqNullSafe(at["source"])
