@@ -143,7 +143,8 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The digests whose two texts, of the new batch and of the snapshot, have the same bytes."""
     ids = pairs.select(F.explode(F.array("new_id", "old_id")).alias("doc_id"), "digest")
     plain = F.regexp_replace(common.whole_text(), common.SPACE, " ")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("digest", plain.alias("plain"))
+    # Always a merge join: a broadcast of few ids would turn into a shuffle of the texts at some larger size.
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id").select("digest", plain.alias("plain"))
     texts = texts.where(F.unhex(F.sha2("plain", 256)) == F.col("digest"))  # a doc_id may come with several texts
     return texts.groupBy("digest").agg(F.min("plain").alias("a"), F.max("plain").alias("b")).where("a = b").select("digest")
 
@@ -183,4 +184,4 @@ def exact_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns."""
     dropped = common.settle(exact_groups(docs).where("not kept").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
