@@ -3,7 +3,11 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import common, exact_dedup, html_text, language, mixing, token_store, toxicity
+from quaymark.llm import common, exact_dedup, hash_forest, html_text, language, mixing, token_store, toxicity
+
+
+def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return hash_forest.nearest(common.table(spark, folder, "embeddings"))
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +38,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hash_forest": op1_hash_forest,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
