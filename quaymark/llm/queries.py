@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import common, exact_dedup, hash_forest, html_text, language, mixing, token_store, toxicity
+from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, token_store, toxicity
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, common.table(spark, folder, "labels")))
 
 
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(common.table(spark, folder, "documents"))
+
+
 def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
     return token_store.read_tokens(token_store.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_output": op9_token_output,
     "op10_html_text": op10_html_text,
 }
