@@ -1,5 +1,7 @@
 """Small helpers of the operators: tables, hashed draws and settled intermediate tables."""
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,4 +31,10 @@ def id_crc(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-__all__ = ["SPACE", "WORD", "id_crc", "settle", "table", "ticket", "whole_text"]
+def release(spark: SparkSession) -> None:
+    """Between rounds: lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+__all__ = ["SPACE", "WORD", "id_crc", "release", "settle", "table", "ticket", "whole_text"]

@@ -2,8 +2,9 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, token_store, toxicity
+from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, repeats, token_store, toxicity
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +15,13 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, folder, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.without_repeats(common.table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -44,6 +52,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
