@@ -14,6 +14,7 @@ as toxic if any label says so; repeated rows get equal results; an empty table g
 """
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,6 +28,8 @@ from quaymark.llm import common
 TRAIN_TOXIC = 2000
 TRAIN_CLEAN = 4000
 GRAMS = (4, 5, 6)
+#: Features are known by so many bits of their hash, which bounds what is counted.
+HASH_BITS = 22
 #: A feature needs this many times its share among clean documents, and that much evidence (likelihood ratio, 2 ln L).
 LEAST_LIFT = 4.0
 LEAST_EVIDENCE = 12.5
@@ -39,16 +42,17 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> set[str]:
-    """A word with its ends marked and its character n-grams."""
+def features(word: str) -> set[int]:
+    """Hashes of a word with its ends marked and of its character n-grams."""
     marked = f"<{word}>"
-    return {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
+    parts = {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
+    return {zlib.crc32(x.encode("utf-8", "replace")) >> (32 - HASH_BITS) for x in parts}
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]
     memo: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word(self, word: str) -> float:
@@ -85,6 +89,12 @@ def _logistic(x):
     return 1 / (1 + np.exp(-x))
 
 
+def _gathered(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin and last as given, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+
+
 def _telling(toxic: int, clean: int, n: tuple[int, int]) -> bool:
     """Whether a feature of so many toxic and clean documents speaks for toxicity."""
     if (toxic + 0.5) / (n[1] + 1) < LEAST_LIFT * (clean + 0.5) / (n[0] + 1):
@@ -102,20 +112,28 @@ def train(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.
     texts, label = [t for t, _ in pairs], np.array([y for _, y in pairs], bool)
     if not label.any() or label.all():
         return Model(-745.0, {})
-    known: dict[str, set[str]] = {}
-    within: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in zip(texts, label):
-        seen: set[str] = set()
-        for word in set(_WORD.findall(text.lower())):
-            if word not in known:
-                known[word] = features(word)
-            seen |= known[word]
-        within[int(y)].update(seen)
+    numbers: dict[str, int] = {}
+    spoken = [
+        np.array(sorted({numbers.setdefault(w, len(numbers)) for w in _WORD.findall(t.lower())}), np.int64) for t in texts
+    ]
+    parts = [np.array(sorted(features(w)), np.int32) for w in numbers]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    begin = np.cumsum(sizes) - sizes
+    del parts
+    within = np.zeros((2, 1 << HASH_BITS), np.int32)
+    for words, y in zip(spoken, label):
+        seen = np.unique(_gathered(flat, begin[words], sizes[words]))
+        within[int(y), seen] += 1
     n = (int((~label).sum()), int(label.sum()))
-    chosen = sorted(f for f, k in within[1].items() if _telling(k, within[0][f], n))
+    chosen = [int(f) for f in np.flatnonzero(within[1]) if _telling(int(within[1, f]), int(within[0, f]), n)]
     place = {f: i for i, f in enumerate(chosen)}
-    used = {w: [place[f] for f in fs if f in place] for w, fs in known.items()}
-    used = {w: at for w, at in used.items() if at}
+    used = {}
+    for w, k in numbers.items():
+        at = [place[f] for f in flat[begin[k] : begin[k] + sizes[k]].tolist() if f in place]
+        if at:
+            used[w] = at
+    del spoken, flat, numbers
     sentence_doc, entry_sentence, entry_feature = [], [], []
     plain = np.zeros(len(texts))
     for d, text in enumerate(texts):
