@@ -38,7 +38,7 @@ BLOCK = 65536
 END_ID = 0
 LEVEL = 3
 #: Chunks of text whose ids a Python worker remembers, and characters looked up at once; both bound its memory.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 SLICE_CHARS = 2_000_000
 
 #: Before a single space and something that is no white space, the tokenizer always starts a new word.
@@ -46,6 +46,18 @@ _BOUNDARY = re.compile(r"(?= \S)")
 _WIDE = re.compile(r" (?!\S)")
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.fresh.append(word)
+        return code
+
+
 class ChunkEncoder:
     """Encodes texts word by word: equal words get equal ids, so each new word is encoded once and remembered.
 
@@ -64,32 +76,35 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self):
-        self.code: dict[str, int] = {}
-        self.flat, self.ends = [], [0]
+        self.code = _Codes()
+        self.flat = np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self) -> None:
         """Ids of words not met before; words with a leading space are encoded many at once and cut apart by bytes."""
-        alone = [w for w in fresh if not w.startswith(" ") or w[1:2].isspace() or w == " "]
-        apart = set(alone)
-        joined = [w for w in fresh if w not in apart]
-        for word, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self._keep(word, np.array(got.ids, np.int32))
-        groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        for words, got in zip(
-            groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        ):
-            ids = np.array(got.ids, np.int32)
-            upto = np.cumsum(self.width[ids])
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
-            cuts = np.searchsorted(upto, ends)
-            if not np.array_equal(upto[cuts], ends):
-                raise ValueError("a token crosses a word boundary")
-            for word, part in zip(words, np.split(ids, cuts[:-1] + 1)):
-                self._keep(word, part)
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        self.code[word] = len(self.flat)
-        self.flat.append(ids)
+        fresh, self.code.fresh = self.code.fresh, []
+        alone = [k for k, w in enumerate(fresh) if w[0] != " " or w[1:2].isspace() or w == " "]
+        joined = np.ones(len(fresh), bool)
+        joined[alone] = False
+        words = [w for w, j in zip(fresh, joined.tolist()) if j]
+        groups = ["".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        many = [np.array(g.ids, np.int32) for g in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate(many) if many else np.zeros(0, np.int32)
+        upto = np.cumsum(self.width[ids])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode("utf-8", "replace")) for w in words], dtype=np.int64)
+        cuts = np.searchsorted(upto, ends) + 1
+        if not np.array_equal(upto[cuts - 1], ends):
+            raise ValueError("a token crosses a word boundary")
+        single = self.tokenizer.encode_batch_fast([fresh[k] for k in alone], add_special_tokens=False)
+        single = [np.array(g.ids, np.int32) for g in single]
+        size = np.zeros(len(fresh), np.int64)
+        size[joined] = np.diff(cuts, prepend=0)
+        size[alone] = [len(x) for x in single]
+        begin = np.zeros(len(fresh), np.int64)
+        begin[joined] = np.cumsum(size[joined]) - size[joined] + len(self.flat)
+        begin[alone] = np.cumsum(size[alone]) - size[alone] + len(self.flat) + len(ids)
+        self.flat = np.concatenate([self.flat, ids, *single])
+        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
 
     def _words(self, text: str) -> list[str]:
         if _WIDE.search(text):
@@ -115,19 +130,12 @@ class ChunkEncoder:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self._words(t) for t, w in zip(texts, whole)]
         words = [w for part in split for w in part]
-        fresh = list(dict.fromkeys(w for w in words if w not in self.code))
-        if fresh:
-            self._learn(fresh)
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        used, place = np.unique(codes, return_inverse=True)
-        parts = [self.flat[c] for c in used]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        begin = np.cumsum(lengths) - lengths
-        count = lengths[place] if len(place) else np.zeros(0, np.int64)
+        if self.code.fresh:
+            self._learn()
+        count = self.size[codes]
         ends = np.cumsum(count)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[place] - (ends - count), count)
-        ids = table[where]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[codes] - (ends - count), count)]
         cut = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) for p in split])]
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if w else ids[cut[i] : cut[i + 1]]
