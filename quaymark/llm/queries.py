@@ -1,10 +1,11 @@
 """The registered queries of the operators, each over its whole table."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, repeats, token_store, toxicity
+from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, repeats, sentencepiece_codec, token_store, toxicity
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, folder, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.without_repeats(common.table(spark, folder, "documents"))
     return cut.select(
@@ -52,6 +58,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
@@ -59,6 +66,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_output": op9_token_output,
     "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
