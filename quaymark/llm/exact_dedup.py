@@ -182,6 +182,6 @@ def exact_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their columns."""
+    """The rows that stay, with their columns; rows without a doc_id can't be told apart and all stay."""
     dropped = common.settle(exact_groups(docs).where("not kept").select("doc_id"))
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -15,8 +15,9 @@ count. A group's work grows with the pairs it holds; its rows and each task's sh
 Result: one row per document, ``doc_id, class_id`` (least doc_id among all documents connected by links),
 ``n_links`` (other documents at or above the threshold), ``n_shingles``.
 Defined results: words are what ASCII white space separates; a text of fewer than five words is one shingle of all
-of them; a text without words has no links and is its own class; rows without a doc_id are left out; rows that
-repeat a doc_id are documents of that id each; an empty table gives no rows; other columns are ignored.
+of them; a text without words has no links and is its own class; rows without a doc_id are left out; rows that repeat
+a doc_id and its text are copies of each other (with another text, a doc_id stands for one of its texts); an empty
+table gives no rows; other columns are ignored.
 """
 
 import math

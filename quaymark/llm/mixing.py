@@ -103,15 +103,14 @@ def _draw_ends(sized: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, size: Column | None = None
-) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, taken``; ``copies`` is how often the mix has the row."""
-    extra = ["size", "source_size", "target", "copies", "taken"]
-    size = word_count(F.col("text")) if size is None else size
-    sized = common.settle(
-        docs.select("doc_id", "source", size.alias("size"), common.ticket(seed, F.col("doc_id")).alias("ticket"))
-    )
+EXTRA = ["size", "source_size", "target", "copies", "taken"]
+
+
+def _taken(docs: DataFrame, carried: list[str], weights, max_epochs: int, seed: str, size: Column | None) -> DataFrame:
+    """``EXTRA`` for every row, beside the columns to carry packed as ``_row``."""
+    size = (word_count(F.col("text")) if size is None else size).alias("size")
+    draw = common.ticket(seed, F.col("doc_id")).alias("ticket")
+    sized = common.settle(docs.select("doc_id", "source", size, draw))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = targets(sources, weights, max_epochs)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -128,22 +127,32 @@ def mix(
     )
     drawn = (F.col("target") > 0) & (F.col("ticket") <= F.coalesce("last", F.lit(-1)))
     copies = F.least(F.col("rounds") + drawn.cast("long"), F.lit(max_epochs).cast("long"))
-    rest = [F.col(c) for c in docs.columns if c not in extra]
-    if set(docs.columns) <= {"doc_id", "source", "text"}:  # the narrow result needs no second look at the texts
-        base, rest = sized, [F.col("doc_id"), F.col("source")]
-    else:
-        base = docs.select(
-            *rest, size.alias("size"), common.ticket(seed, F.col("doc_id")).alias("ticket")
-        )
+    # Ids and sources alone need no second look at the texts.
+    base = sized if set(carried) <= {"doc_id", "source"} else docs
+    packed = base.select(
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), "source",
+        *(["size", "ticket"] if base is sized else [size, draw]),
+    )
     return (
-        base.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+        packed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("copies", copies)
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .select(*rest, *extra)
+        .select("_row", *EXTRA)
     )
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: every row as often as ``copies`` says."""
+def mix(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, size: Column | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` (or the columns to carry) with ``size, source_size, target, copies, taken`` in the place of any
+    columns of these names; ``copies`` is how often the mix has the row."""
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in EXTRA]
+    return _taken(docs, carried, weights, max_epochs, seed, size).select(*[f"_row.`{c}`" for c in carried], *EXTRA)
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken."""
+    taken = _taken(docs, docs.columns, weights, max_epochs, seed, None).where("copies > 0")
     turns = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").select(*columns, turns.alias("_turn")).select(*columns)
+    return taken.select("_row", turns.alias("turn")).select("_row.*")

@@ -29,8 +29,8 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = common.table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = common.table(spark, folder, "documents")
+    return mixing.mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -177,7 +177,7 @@ def unpack_block(planes: list[bytes], n: int, plane: str = "byte") -> np.ndarray
     bits = np.zeros((32, n), np.uint8)
     for k, row in enumerate(rows):
         bits[k] = np.unpackbits(row, bitorder="little", count=n)
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
