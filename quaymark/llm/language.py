@@ -30,7 +30,8 @@ FILTERS = 8
 EMBEDDING = 8
 #: Rows learned from, for each language.
 TRAIN_ROWS = 1500
-EPOCHS = 6
+#: Updates of the training, however few rows there are.
+STEPS = 700
 BATCH = 64
 RATE = 0.004
 #: Windows computed at once in a task.
@@ -87,7 +88,7 @@ def train(texts: list[bytes], languages: list[str], seed: int = 1) -> Network:
     mean = [np.zeros_like(v) for v in values]
     square = [np.zeros_like(v) for v in values]
     step, places = 0, WINDOW - max(WIDTHS) + 1
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]

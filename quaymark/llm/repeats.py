@@ -162,6 +162,9 @@ def _compare(batches):
     held = None
 
     def settle(rank, doc, pos, left, data):
+        new = np.ones(len(rank), bool)  # repeated rows of one document come twice
+        new[1:] = (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+        rank, doc, pos, left, data = rank[new], doc[new], pos[new], left[new], [x for x, n in zip(data, new.tolist()) if n]
         for cut in _portions(rank):
             row, offset, name = offset_ranks(rank[cut], left[cut], data[cut])
             _, at, back = np.unique(name, return_index=True, return_inverse=True)
