@@ -81,9 +81,9 @@ MARKET = "market AS (SELECT 'MARKET' AS ticker, CAST(o_orderdate AS DATE) AS dat
 ALL_BARS = "allbars AS (SELECT * FROM bars UNION ALL SELECT * FROM market)"
 BRAND = "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER)"
 MACRO = (
-    f"macro AS (SELECT list_extract([{names(derived.SERIES_NAMES)}], {BRAND}) AS series, "
+    f"macro AS (SELECT coalesce(list_extract([{names(derived.SERIES_NAMES)}], {BRAND}), p_brand) AS series, "
     "CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS close "
-    f"FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {BRAND} BETWEEN 1 AND 17 GROUP BY ALL)"
+    "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 )
 EVENT_DAYS = (
     "edays AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open, "

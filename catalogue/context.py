@@ -15,8 +15,8 @@ def atm_iv_skew(spark, folder):
 
 
 def atm_iv_skew_with_unlisted(spark, folder):
-    """Asked for every brand and two symbols nobody lists; quotes of high strikes only."""
-    chain = derived.option_chain(spark, folder).where(F.col("p_partkey") % 40 < 13)
+    """Asked for every brand and two symbols nobody lists."""
+    chain = derived.option_chain(spark, folder)
     snaps = options.implied_vol(chain.drop("p_partkey"), derived.OPTIONS_TODAY)
     asked = pulse.ordered_symbols([f"Brand#{k}" for k in range(1, 26)], ["NONE#1", "NONE#2"])
     return portable(options.with_unlisted(snaps, asked).select("symbol", "status", "atm_iv"))
@@ -25,7 +25,7 @@ def atm_iv_skew_with_unlisted(spark, folder):
 def feeds(spark, folder):
     """Feeds per symbol plus one reachable symbol without any headline."""
     items = derived.headlines(spark, folder)
-    nested = pulse.feeds_from_items(items).withColumn("fetch_ok", F.col("symbol").cast("int") % 7 != 0)
+    nested = pulse.feeds_from_items(items).withColumn("fetch_ok", F.col("symbol").cast("long") % 7 != 0)
     quiet = spark.createDataFrame(
         [("^VIX", True, [])], "symbol string, fetch_ok boolean, items array<struct<title:string,summary:string>>"
     )
@@ -82,16 +82,16 @@ def _iv(where: str = "TRUE") -> str:
 
 ASKED = [f"Brand#{k}" for k in range(1, 26)] + ["NONE#1", "NONE#2"]
 FEED = (
-    "hl AS (SELECT CAST(conv_id % 10 AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) - 1 AS pos, "
+    "hl AS (SELECT CAST(conv_id AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, "
     "trim((CASE WHEN turn % 3 <> 0 THEN role ELSE '' END) || '. ' || coalesce(text, ''), ' \t\n\r\x0b\x0c') AS text FROM conversations), "
-    "top AS (SELECT * FROM hl WHERE pos < 10)"
+    "top AS (SELECT * FROM hl)"
 )
 PULSE = (
-    "pw AS (SELECT symbol, pos, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM top WHERE CAST(symbol AS INTEGER) % 7 <> 0), "
+    "pw AS (SELECT symbol, pos, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM top WHERE CAST(symbol AS BIGINT) % 7 <> 0), "
     "ps AS (SELECT symbol, pos, coalesce(sum(valence), 0) AS s FROM pw LEFT JOIN lex USING (word) GROUP BY ALL), "
     "pm AS (SELECT symbol, count(*) AS n, avg(s / sqrt(s * s + 15)) AS m FROM ps GROUP BY 1), "
     "pulse AS (SELECT symbol, n AS n_headlines, m AS avg_compound, TRUE AS had_news, CASE WHEN m > 0.15 THEN 'positive' WHEN m < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM pm "
-    "UNION ALL SELECT DISTINCT symbol, 0, NULL, NULL, 'unavailable (fetch failed)' FROM top WHERE CAST(symbol AS INTEGER) % 7 = 0 "
+    "UNION ALL SELECT DISTINCT symbol, 0, NULL, NULL, 'unavailable (fetch failed)' FROM top WHERE CAST(symbol AS BIGINT) % 7 = 0 "
     "UNION ALL SELECT '^VIX', 0, NULL, FALSE, 'no recent news')"
 )
 FUND = (
@@ -131,7 +131,7 @@ ORACLES = {
     "atm_iv_skew": query(CHAIN, _iv(), emit("ivs", "symbol status expiration:d atm_iv:f iv_skew:f")),
     "atm_iv_skew_with_unlisted": query(
         CHAIN,
-        _iv("p_partkey % 40 < 13"),
+        _iv(),
         f"asked AS (SELECT unnest([{names(ASKED)}]) AS symbol)",
         "r AS (SELECT symbol, status, atm_iv FROM ivs UNION ALL SELECT symbol, 'unavailable', NULL FROM asked WHERE symbol NOT IN (SELECT symbol FROM ivs))",
         emit("r", "symbol status atm_iv:f"),

@@ -158,7 +158,7 @@ def scored_days(spark, folder):
 
 
 def full_log(spark, folder):
-    return backtest.trade_log(scored_days(spark, folder), COSTS, days=1_000_000)
+    return backtest.trade_log(scored_days(spark, folder), COSTS, days=None)
 
 
 def persistence_backtest_summary(spark, folder):

@@ -6,7 +6,8 @@ from catalogue.bars import FEATURE_CTES
 from catalogue.common import emit, portable, query
 from catalogue.intraday import CTES as INTRADAY_CTES
 from catalogue.intraday import DAY_SPLIT
-from catalogue.news import COVERED, TICKERS, scored
+from catalogue.macro import ALIGNED, ENHANCED, MACRO_CTES
+from catalogue.news import CARRIED, COVERED, NEWS_CTES, NEWS_SPEC, TICKER_NEWS, TICKERS, scored
 from quaymark import schemas
 from quaymark.models import linear, trees
 from quaymark.operators import features, intraday, macro, metrics, news, splits
@@ -39,13 +40,7 @@ def _long_coefficients(fitted, columns, *keys):
 
 def news_feature_dataset(spark, folder):
     columns = schemas.FEATURE_SETS["with_macro_and_news"]
-    data = features.dataset(full_table(spark, folder), columns)
-    return portable(
-        data.groupBy("ticker").agg(
-            F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-            *[F.avg(c).alias(c) for c in schemas.NEWS_FEATURES],
-        )
-    )
+    return portable(features.dataset(full_table(spark, folder), columns))
 
 
 def ridge_two_factor(spark, folder):
@@ -211,7 +206,30 @@ QUERIES = {
     "intraday_training_summary": intraday_training_summary,
 }
 
+WITH_NEWS = (
+    "full_ AS (SELECT enh.*, n.* EXCLUDE (ticker, date, close, is_row) FROM enh LEFT JOIN ncarried n "
+    "ON n.is_row AND n.ticker = enh.ticker AND n.date = enh.date)"
+)
+
 ORACLES = {
+    "news_feature_dataset": query(
+        *FEATURE_CTES,
+        *MACRO_CTES,
+        ALIGNED,
+        ENHANCED,
+        *NEWS_CTES,
+        TICKER_NEWS,
+        CARRIED,
+        WITH_NEWS,
+        emit(
+            "full_",
+            "ticker date:d "
+            + " ".join(f"{c}:f" for c in schemas.FEATURE_SETS["with_macro"])
+            + f" {NEWS_SPEC} target_return:f target_direction:i close:f",
+        )
+        + " WHERE target_return IS NOT NULL AND "
+        + " AND ".join(f"{c} IS NOT NULL" for c in schemas.FEATURE_SETS["with_macro_and_news"]),
+    ),
     "ridge_two_factor": query(
         *FEATURE_CTES,
         PAIR_ROWS,

@@ -34,11 +34,38 @@ def block_order(*keys: str):
 
 
 def _blocks_back(keep: float) -> int:
-    return max(1, math.ceil(math.log(1e-17) / (BLOCK * math.log(keep))))
+    return max(1, math.ceil(math.log(1e-17) / (BLOCK * math.log(keep)))) if keep > 0 else 1
+
+
+def _stays_finite(keep: float) -> bool:
+    """Whether ``keep ** -BLOCK`` leaves room for values below 1e100."""
+    return keep > 0 and -BLOCK * math.log10(keep) < 200
+
+
+def _direct(spec: Smooth, *keys: str) -> Column:
+    keep = 1.0 - spec.alpha
+    rows = 1 if keep <= 0 else math.ceil(math.log(1e-17) / math.log(keep))
+    order = block_order(*keys)
+    total = F.lit(0.0)
+    for back in range(rows):
+        row, value = (F.lag(c, back).over(order) if back else F.col(c) for c in ("_i", spec.value))
+        share = F.when(row == spec.seed_row, 1.0).when(row > spec.seed_row, spec.alpha).otherwise(0.0)
+        total = total + F.coalesce(value * share, F.lit(0.0)) * keep**back
+    return F.when(F.col("_i") >= spec.seed_row, total)
 
 
 def smooth(df: DataFrame, series: dict[str, Smooth], *keys: str) -> DataFrame:
-    """Append one column per entry of ``series``. Needs the columns of :func:`number_rows`."""
+    """Append one column per entry of ``series``. Needs the columns of :func:`number_rows`.
+
+    Where most of the weight is on the newest values, a value fades within one block; such series are direct sums
+    of the few rows that still count.
+    """
+    brief = {name: spec for name, spec in series.items() if not _stays_finite(1.0 - spec.alpha)}
+    if brief:
+        df = df.withColumns({name: _direct(spec, *keys) for name, spec in brief.items()})
+        series = {name: spec for name, spec in series.items() if name not in brief}
+        if not series:
+            return df
     at = F.col("_i") % BLOCK
     inside = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     passed = {name: f"_in_{name}" for name in series}

@@ -37,8 +37,3 @@ def rolling_std(value: Column, rows: int, spec: WindowSpec) -> Column:
 
 def zscore(value: Column, rows: int, spec: WindowSpec) -> Column:
     return F.try_divide(value - rolling_mean(value, rows, spec), rolling_std(value, rows, spec))
-
-
-def finite(value: Column) -> Column:
-    """NaN and infinities become NULL."""
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)

@@ -61,28 +61,39 @@ def fit_ridge(
 ) -> DataFrame:
     """(keys, n, intercept, coefficients) of ridge regressions on standardised features.
 
-    Scaling is by the population deviation and folded back into raw-unit coefficients.
+    Scaling is by the population deviation and folded back into raw-unit coefficients. Rows are centred and scaled
+    before their moments are taken, so features far from 0 lose no digits.
     """
     size = len(columns) + 1
-    data = rows.select(
-        *keys, F.concat(features_array(columns), F.array(F.col(label).cast("double"))).alias("_x"), F.lit(1.0).alias("_one")
+    scaling = standardisation(rows, columns, *keys)
+    centred = F.zip_with("_raw", "centre", lambda x, m: x - m)
+    data = (
+        rows.select(*keys, features_array(columns).alias("_raw"), F.col(label).cast("double").alias("_y"))
+        .join(scaling, list(keys))
+        .select(
+            *keys,
+            F.concat(F.zip_with(centred, F.col("scale"), lambda x, s: x / s), F.array("_y")).alias("_x"),
+            F.lit(1.0).alias("_one"),
+        )
     )
-    sums = moments(data, "_x", "_one", *keys)
+    sums = moments(data, "_x", "_one", *keys).join(scaling, list(keys))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for n, products in zip(batch["total"], batch["products"]):
+            for n, products, centre, scales in zip(batch["total"], batch["products"], batch["centre"], batch["scale"]):
+                centre, scales = np.asarray(centre, dtype=float), np.asarray(scales, dtype=float)
                 mean, square = unpack(np.asarray(products, dtype=float), size)
                 spread = square - np.outer(mean, mean)
                 scale = np.sqrt(np.clip(np.diag(spread)[:-1], 0.0, None))
-                flat = scale <= 1e-12 * (np.abs(mean[:-1]) + 1e-300)
+                flat = scale < 0.5  # constant features: nothing is left of them
                 safe = np.where(flat, 1.0, scale)
                 gram = n * spread[:-1, :-1] / np.outer(safe, safe)
                 cross = n * spread[:-1, -1] / safe
                 gram[flat, :] = gram[:, flat] = cross[flat] = 0.0
                 coef = np.linalg.solve(gram + alpha * np.eye(size - 1), cross) / safe
-                found.append((n, mean[-1] - coef @ mean[:-1], coef.tolist()))
+                raw = coef / scales
+                found.append((n, mean[-1] - coef @ mean[:-1] - raw @ centre, raw.tolist()))
             out = batch[list(keys)].copy()
             out[["n", "intercept", "coefficients"]] = pd.DataFrame(found, index=batch.index, columns=["n", "i", "c"])
             yield out

@@ -4,10 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def manifest_of(models: DataFrame) -> DataFrame:
-    return models.select("ticker", "task", "model", "columns")
-
-
 def required_columns(manifest: DataFrame) -> DataFrame:
     """(ticker, columns): the sorted union of both tasks' columns."""
     return manifest.groupBy("ticker").agg(

@@ -89,13 +89,17 @@ def fold_costs(
     rows: DataFrame, columns: list[str], kind: str, task: str, params: dict, folds: int, recency: bool = False
 ) -> list[float]:
     """Refit on every expanding fold of one instrument's rows and score its test block."""
-    marked = splits.expanding_folds(rows, "ticker", folds=folds).persist()
+    marked = splits.expanding_folds(rows, "ticker", folds=folds, min_rows=1).persist()
     costs = []
-    for (fold,) in sorted(marked.select("fold").distinct().collect()):
-        part = marked.where(F.col("fold") == fold)
-        model = fit_weighted(part.where("role = 'train'"), columns, kind, task, params, recency)
-        costs.append(task_cost(score_tree(part.where("role = 'test'"), model, task), task))
-    marked.unpersist()
+    try:
+        for (fold,) in sorted(marked.select("fold").distinct().collect()):
+            part = marked.where(F.col("fold") == fold)
+            model = fit_weighted(part.where("role = 'train'"), columns, kind, task, params, recency)
+            costs.append(task_cost(score_tree(part.where("role = 'test'"), model, task), task))
+    finally:
+        marked.unpersist()
+    if not costs:
+        raise ValueError(f"too few rows to tune on {folds} folds")
     return costs
 
 
@@ -107,7 +111,7 @@ def search(
     tried = []
     for choice in draws(kind, count, grid=grid):
         costs = fold_costs(rows, columns, kind, task, choice, folds, recency)
-        tried.append((sum(costs) / len(costs) if costs else 0.0, len(tried), choice))
+        tried.append((sum(costs) / len(costs), len(tried), choice))
     return min(tried)[2]
 
 

@@ -57,14 +57,10 @@ def _last_known(frame: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
 def audit_own(bars: DataFrame, features=own_features, columns: list[str] = schemas.OWN_FEATURES) -> DataFrame:
     """Recompute own features on every prefix (one instrument-prefix pair is one group)."""
-    prefixes = (
-        _with_cuts(bars)
-        .withColumn("cut", F.explode(F.filter("_cuts", lambda c: F.col("_row") < c)))
-        .withColumn("ticker", F.concat_ws("#", "ticker", "cut"))
-    )
-    rebuilt = features(prefixes)
-    last = rebuilt.groupBy("ticker").agg(F.max_by(F.struct("date", *columns), "date").alias("_l"))
-    truncated = last.select(F.substring_index("ticker", "#", 1).alias("ticker"), "_l.*")
+    prefixes = _with_cuts(bars).withColumn("cut", F.explode(F.filter("_cuts", lambda c: F.col("_row") < c)))
+    rebuilt = features(prefixes, "cut")
+    last = rebuilt.groupBy("ticker", "cut").agg(F.max_by(F.struct("date", *columns), "date").alias("_l"))
+    truncated = last.select("ticker", "_l.*")
     full = _renamed(features(bars), "f", columns, "ticker", "date")
     return _report(_renamed(truncated, "t", columns, "ticker", "date").join(full, ["ticker", "date"], "left"), columns)
 

@@ -17,7 +17,7 @@ def cost_of(ticker: Column, costs: dict[str, float] = config.TRANSACTION_COST_BP
     return F.coalesce(known[ticker], F.lit(float(config.DEFAULT_COST_BPS)))
 
 
-def prior_day(scored: DataFrame) -> DataFrame:
+def prior_day(scored: DataFrame, aged: bool = False) -> DataFrame:
     """Each day with what was known the day before, instead of looking the rows up one by one."""
     spec = windows.calendar("ticker")
     known = F.struct("close", "pred_return", "up_probability", "complete")
@@ -26,8 +26,8 @@ def prior_day(scored: DataFrame) -> DataFrame:
         "date",
         F.col("close").alias("actual_close"),
         F.lag(known, 1).over(spec).alias("prior"),
-        F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc())).alias("_age"),
         F.row_number().over(spec).alias("_day_no"),
+        *([F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc())).alias("_age")] if aged else []),
     )
 
 
@@ -66,14 +66,14 @@ def _note() -> Column:
 
 
 def trade_log(
-    scored: DataFrame, costs: dict[str, float] = config.TRANSACTION_COST_BPS, days: int = config.BACKTEST_DAYS
+    scored: DataFrame, costs: dict[str, float] = config.TRANSACTION_COST_BPS, days: int | None = config.BACKTEST_DAYS
 ) -> DataFrame:
-    """The newest ``days`` days of each instrument, predicted from the day before.
+    """The newest ``days`` days of each instrument (None: all of them), predicted from the day before.
 
     ``scored`` has (ticker, date, close, pred_return, up_probability, complete) for every day.
     """
-    recent = prior_day(scored).where((F.col("_age") <= days) & (F.col("_day_no") > 1))
-    return _log(recent, _note(), costs)
+    predicted = prior_day(scored, aged=days is not None).where(F.col("_day_no") > 1)
+    return _log(predicted if days is None else predicted.where(F.col("_age") <= days), _note(), costs)
 
 
 def trade_log_for(

@@ -57,12 +57,13 @@ def relative_strength(gain: Column, loss: Column) -> Column:
     return F.coalesce(F.when(ready, F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ratio)), F.lit(50.0))
 
 
-def own_features(bars: DataFrame) -> DataFrame:
-    """(ticker, date, 23 features, target_return, target_direction, close)."""
-    spec = block_order("ticker")
+def own_features(bars: DataFrame, *more: str) -> DataFrame:
+    """(ticker, date, 23 features, target_return, target_direction, close); ``more`` keys split instruments further."""
+    keys = ("ticker", *more)
+    spec = block_order(*keys)
     close, volume = F.col("close"), F.col("volume")
 
-    frame = number_rows(bars.select(schemas.DAILY_BARS.fieldNames()), "ticker")
+    frame = number_rows(bars.select(*schemas.DAILY_BARS.fieldNames(), *more), *keys)
     frame = frame.withColumns(price_windows(close, spec) | volume_columns(volume, spec))
     move = close - F.col("_lag_1")
     frame = frame.withColumns(
@@ -83,9 +84,9 @@ def own_features(bars: DataFrame) -> DataFrame:
             "_up": Smooth("_gain", 1 / RSI_ROWS, seed_row=1),
             "_down": Smooth("_loss", 1 / RSI_ROWS, seed_row=1),
         },
-        "ticker",
+        *keys,
     ).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    frame = smooth(frame, {"_signal": Smooth("_macd", 2 / 10)}, "ticker")
+    frame = smooth(frame, {"_signal": Smooth("_macd", 2 / 10)}, *keys)
     frame = frame.withColumns(
         {
             "rsi_14": relative_strength(F.col("_up"), F.col("_down")),
@@ -96,7 +97,7 @@ def own_features(bars: DataFrame) -> DataFrame:
         }
     )
     return frame.select(
-        "ticker", "date", *schemas.OWN_FEATURES, "target_return", "target_direction", "close"
+        *keys, "date", *schemas.OWN_FEATURES, "target_return", "target_direction", "close"
     )
 
 

@@ -3,17 +3,16 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaymark import config
 from quaymark.functions import labels
 from quaymark.operators.news import BLANKS
 from quaymark.operators.sentiment import lexicon_sentiment
 
 
-def headline_texts(items: Column, limit: int = config.PULSE_MAX_ITEMS) -> Column:
-    """``title. summary`` of the first items, trimmed, empty ones dropped."""
+def headline_texts(items: Column, limit: int | None = None) -> Column:
+    """``title. summary`` of all items (or the first ``limit``), trimmed, empty ones dropped."""
     empty = F.lit("")
     texts = F.transform(
-        F.slice(items, 1, limit),
+        items if limit is None else F.slice(items, 1, limit),
         lambda it: F.btrim(
             F.concat(F.coalesce(it["title"], empty), F.lit(". "), F.coalesce(it["summary"], empty)), F.lit(BLANKS)
         ),
@@ -26,14 +25,16 @@ def ordered_symbols(*lists: list[str]) -> list[str]:
     return list(dict.fromkeys(symbol for symbols in lists for symbol in symbols))
 
 
-def feeds_from_items(items: DataFrame, limit: int = config.PULSE_MAX_ITEMS) -> DataFrame:
-    """(symbol, items array) from one row per headline; only the first ``limit`` items are shown.
+def feeds_from_items(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """(symbol, items array) from one row per headline; with ``limit`` only the first are shown.
 
-    The rank filter is applied before the shuffle, so a symbol with most of the headlines ships
-    at most ``limit`` rows per task.
+    The rank filter of a limit (a live readout shows ``config.PULSE_MAX_ITEMS``) is applied before the
+    shuffle, so a symbol with most of the headlines then ships at most ``limit`` rows per task.
     """
-    first = Window.partitionBy("symbol").orderBy("position")
-    ranked = items.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit)
+    ranked = items.withColumnRenamed("position", "_rank")
+    if limit is not None:
+        first = Window.partitionBy("symbol").orderBy("position")
+        ranked = items.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit)
     nested = F.sort_array(F.collect_list(F.struct("_rank", "title", "summary")))
     return ranked.groupBy("symbol").agg(
         F.transform(nested, lambda it: F.struct(it["title"].alias("title"), it["summary"].alias("summary"))).alias(

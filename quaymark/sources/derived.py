@@ -75,7 +75,7 @@ def all_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def macro_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Average unit price per brand and shipping day; brand n plays series n."""
+    """Average unit price per brand and shipping day; brand n plays series n, later brands keep their own name."""
     lines = table(spark, folder, "lineitem").select(
         "l_partkey", "l_extendedprice", "l_quantity", F.to_date("l_shipdate").alias("date")
     )
@@ -83,9 +83,7 @@ def macro_bars(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array(*[F.lit(name) for name in SERIES_NAMES])
     parts = (
         table(spark, folder, "part")
-        .select("p_partkey", brand.alias("brand"))
-        .where(F.col("brand").between(1, len(SERIES_NAMES)))
-        .select("p_partkey", F.element_at(names, F.col("brand")).alias("series"))
+        .select("p_partkey", F.coalesce(F.get(names, brand - 1), F.col("p_brand")).alias("series"))
     )
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
@@ -172,10 +170,10 @@ def option_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns as headlines: one row per item, numbered inside its symbol's feed."""
+    """Conversation turns as headlines: one row per item; every conversation is the feed of its own symbol."""
     turns = table(spark, folder, "conversations")
     return turns.select(
-        (F.col("conv_id") % 10).cast("string").alias("symbol"),
+        F.col("conv_id").cast("string").alias("symbol"),
         (F.col("conv_id") % 7 != 0).alias("fetch_ok"),
         F.struct("conv_id", "turn").alias("position"),
         F.when(F.col("turn") % 3 != 0, F.col("role")).alias("title"),

@@ -26,27 +26,29 @@ def _advance(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         state.remove()
         return
     held = state.getOption
-    number, day_open, before, now, high, low, volume, _ = held if held else (0, None, None, None, None, None, 0.0, None)
-    newest = None
-    for bars in chunks:
-        out = []
-        for bar in bars.sort_values("ts").itertuples(index=False):
-            number += 1
-            day_open = bar.open if day_open is None else day_open
-            before, now = now, bar.close
-            high = bar.high if high is None else max(high, bar.high)
-            low = bar.low if low is None else min(low, bar.low)
-            volume += bar.volume
-            newest = bar.ts
-            out.append((key[0], key[1], bar.ts, number, day_open, before, now, high, low, volume))
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "ticker", "date", "ts", "bar_no", "day_open", "price_before", "price_now",
-                "high_so_far", "low_so_far", "volume_so_far",
-            ],
-        )
-    state.update((number, day_open, before, now, high, low, volume, newest.to_pydatetime()))
+    number, day_open, _, now, high, low, volume, _ = held if held else (0, None, None, None, None, None, 0.0, None)
+    # A call's rows can come in several chunks in any order: sort all of them once. A session has few bars.
+    bars = pd.concat(list(chunks), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
+    if bars.empty:
+        return
+    out = pd.DataFrame(
+        {
+            "ticker": key[0], "date": key[1], "ts": bars["ts"], "bar_no": number + 1 + bars.index,
+            "day_open": bars["open"].iloc[0] if day_open is None else day_open,
+            "price_before": bars["close"].shift(1, fill_value=float("nan") if now is None else now), "price_now": bars["close"],
+            "high_so_far": bars["high"].cummax().clip(lower=high), "low_so_far": bars["low"].cummin().clip(upper=low),
+            "volume_so_far": bars["volume"].cumsum() + volume,
+        }
+    )
+    yield out
+    last = out.iloc[-1]
+    state.update(
+        (
+            int(last["bar_no"]), float(last["day_open"]), None if pd.isna(last["price_before"]) else float(last["price_before"]),
+            float(last["price_now"]), float(last["high_so_far"]), float(last["low_so_far"]), float(last["volume_so_far"]),
+            last["ts"].to_pydatetime(),
+        )
+    )
     close = pd.Timestamp(key[1]) + pd.Timedelta(hours=16)
     if close.timestamp() * 1000 > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(int(close.timestamp() * 1000))
@@ -77,8 +79,3 @@ def scored_stream(bars: DataFrame, daily: DataFrame, coefficients: DataFrame) ->
         snapshot_stream(bars, daily), coefficients, schemas.SNAPSHOT_FEATURES, "prediction", "ticker"
     )
     return rows.withColumn("predicted_close", F.col("price_now") * (1 + F.col("prediction")))
-
-
-def latest_per_batch(bars: DataFrame, daily: DataFrame, sink) -> None:
-    """``foreachBatch`` body: live snapshot of every session in the batch, handed to ``sink``."""
-    sink(intraday.live_snapshots(bars, daily))

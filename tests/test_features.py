@@ -115,15 +115,17 @@ def test_weekday_circle(spark):
 
 
 def test_audit_finds_a_planted_leak(spark):
-    def leaky(frame):
-        return features.own_features(frame).withColumn(
-            "hl_range", F.max("close").over(windows.calendar("ticker").rowsBetween(0, 5))
+    def leaky(frame, *more):
+        return features.own_features(frame, *more).withColumn(
+            "hl_range", F.max("close").over(windows.calendar("ticker", *more).rowsBetween(0, 5))
         )
 
     closes = (100 + np.random.default_rng(5).normal(size=220).cumsum()).tolist()
     table = bars(spark, {"A": closes})
     clean, planted = audit.audit_own(table).first(), audit.audit_own(table, leaky).first()
     assert clean["n_leaks"] == 0 and clean["n_cutoffs"] == 5 and clean["n_checked"] == 115
+    hashed = audit.audit_own(bars(spark, {"Brand#12": closes})).first()  # a name is never cut apart
+    assert (hashed["ticker"], hashed["n_leaks"]) == ("Brand#12", 0)
     assert planted["n_leaks"] > 0 and planted["leaking"] == "hl_range"
 
 
@@ -131,3 +133,15 @@ def test_value_against_null_is_a_leak(spark):
     frame = spark.createDataFrame([(1.0, None), (None, None), (1.0, 1.0 + 1e-12)], "f double, t double")
     got = [r["x"] for r in frame.select(audit.leaked(F.col("f"), F.col("t")).alias("x")).collect()]
     assert got == [True, False, False]
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.6, 0.95, 1.0])
+def test_smoothing_of_any_alpha(spark, alpha):
+    values = [1000.0 + (i * 37) % 101 for i in range(700)]
+    frame = smooth(number_rows(bars(spark, {"A": values}), "ticker"), {"y": Smooth("close", alpha)}, "ticker")
+    want, level = [], values[0]
+    for value in values:
+        level = alpha * value + (1 - alpha) * level
+        want.append(level)
+    got = [r["y"] for r in frame.orderBy("_i").collect()]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
