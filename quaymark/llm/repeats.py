@@ -102,7 +102,9 @@ def _rerank(batches):
     group = np.cumsum(new(rank)) - 1
     first = new(rank, around)
     classes = np.bincount(group, first)[group]
-    edge = (group == 0) | (group == group[-1])
+    # A rank at an end may go on in the next range. Only the first row of each of its neighbourhoods has to wait for
+    # that; the others were seen before whatever lies elsewhere.
+    edge = first & ((group == 0) | (group == group[-1]))
     kind = np.full(len(rank), -1)
     kind[~first] = SEEN
     kind[first & (classes > 1)] = FIRST
