@@ -19,6 +19,8 @@ repeat doc_id and text are one document and all get its result; an empty table g
 ignored. Removed spans are judged on the input, not on what is left.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +30,13 @@ from quaymark.llm import common
 from quaymark.llm.fingerprints import GRAM, LENGTH, PLACES, Stretch, anchors, grams, mixed
 
 BEFORE = PLACES - 1
-#: Different neighbourhoods of one anchor that a single task compares.
-HOT = 4096
+#: Different neighbourhoods of one anchor that a single task compares; a task holds their bytes and ranks them a few
+#: offsets at a time.
+HOT = 200_000
 _SLICE = 1 << 18
 _PIECE = 1 << 20
 _GROUPS_AT_ONCE = 2000
+_RANKS_AT_ONCE = 200_000
 
 
 def _pieces(docs: list[tuple[int, bytes]]):
@@ -129,8 +133,10 @@ def _neighbourhoods(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-def offset_ranks(rank: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, offsets before the anchor and ranks of all 100-byte strings around some anchors.
+def offset_ranks(
+    rank: np.ndarray, left: np.ndarray, data: list[bytes], at_once: int = PLACES
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, offsets before the anchor and ranks of all 100-byte strings around some anchors, some offsets at a time.
 
     The rank joins the ranks of both halves, the anchor's and the offset, so only like strings share it.
     """
@@ -138,14 +144,15 @@ def offset_ranks(rank: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple
     stretch = Stretch(np.frombuffer(b"".join(data), np.uint8))
     anchor = np.cumsum(lengths) - lengths + left
     end = np.cumsum(lengths)
-    d = np.arange(PLACES)
-    start = anchor[:, None] - d[None, :]
-    valid = (d[None, :] <= left[:, None]) & (start + LENGTH <= end[:, None])
-    row, offset = np.nonzero(valid)
-    s = start[row, offset]
     half = LENGTH // 2
-    pair = mixed(stretch.name(s, s + half)) + np.uint64(3) * stretch.name(s + half, s + LENGTH)
-    return row, offset, mixed(pair + mixed(rank.view(np.uint64)[row] + offset.astype(np.uint64)))
+    for lowest in range(0, PLACES, at_once):
+        d = np.arange(lowest, min(lowest + at_once, PLACES))
+        start = anchor[:, None] - d[None, :]
+        valid = (d[None, :] <= left[:, None]) & (start + LENGTH <= end[:, None])
+        row, k = np.nonzero(valid)
+        s, offset = start[row, k], d[k]
+        pair = mixed(stretch.name(s, s + half)) + np.uint64(3) * stretch.name(s + half, s + LENGTH)
+        yield row, offset, mixed(pair + mixed(rank.view(np.uint64)[row] + offset.astype(np.uint64)))
 
 
 def _starts(pos: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,11 +175,12 @@ def _compare(batches):
         new[1:] = (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
         rank, doc, pos, left, data = rank[new], doc[new], pos[new], left[new], [x for x, n in zip(data, new.tolist()) if n]
         for cut in _portions(rank):
-            row, offset, name = offset_ranks(rank[cut], left[cut], data[cut])
-            _, at, back = np.unique(name, return_index=True, return_inverse=True)
-            again = at[back.ravel()] != np.arange(len(name))
             repeated = np.zeros((len(rank[cut]), PLACES), bool)
-            repeated[row[again], offset[again]] = True
+            at_once = max(1, min(PLACES, _RANKS_AT_ONCE // len(repeated)))
+            for row, offset, name in offset_ranks(rank[cut], left[cut], data[cut], at_once):
+                _, at, back = np.unique(name, return_index=True, return_inverse=True)
+                again = at[back.ravel()] != np.arange(len(name))
+                repeated[row[again], offset[again]] = True
             which, low, high = _starts(pos[cut], repeated)
             yield _batch(["doc", "low", "high"], doc[cut][which], low, high)
 
@@ -203,8 +211,8 @@ def _ranked(batches):
         for i in range(0, len(whole), 500):
             batch = whole.slice(i, 500)
             rank, doc, pos, left = (batch.column(k).to_numpy() for k in range(4))
-            row, offset, name = offset_ranks(rank, left, batch.column(4).to_pylist())
-            yield _batch(["rank", "name", "doc", "start"], rank[row], name.view(np.int64), doc[row], pos[row] - offset)
+            for row, offset, name in offset_ranks(rank, left, batch.column(4).to_pylist()):
+                yield _batch(["rank", "name", "doc", "start"], rank[row], name.view(np.int64), doc[row], pos[row] - offset)
 
 
 def _hot_starts(rows: DataFrame) -> DataFrame:
