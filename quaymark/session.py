@@ -54,15 +54,26 @@ def ship(spark: SparkSession) -> None:
     context._quaymark_shipped = True
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/quaymark/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/quaymark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has settled; call it once its results are written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` once below the shared folder and read it back.
 
-    Later jobs start from the files, so losing executors costs no recomputation of what came before.
+    Later jobs start from the files, so losing executors costs no recomputation of what came before. The files
+    stay until :func:`clear_work`, as the frames that read them are lazy.
     """
     path = work_path(df.sparkSession, "settled")
     df.write.parquet(path)
