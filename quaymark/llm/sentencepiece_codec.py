@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from quaymark.llm import common
 
 SPACE = "▁"
-#: Words whose ids a Python worker remembers, and characters encoded at once; both bound its memory.
-REMEMBERED = 600_000
-SLICE_CHARS = 4_000_000
+#: Words (and piece pairs) a Python worker remembers, characters of the texts it holds at once, and symbols of new
+#: words in one suffix array; all bound its memory.
+REMEMBERED = 400_000
+SLICE_CHARS = 1_000_000
+LATTICE_SYMBOLS = 300_000
 #: Longer words are merged step by step.
 LONGEST_WORD = 64
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -224,7 +226,7 @@ class Codec:
     def may_follow(self, codes: np.ndarray) -> np.ndarray:
         """Whether merging the symbols of two pieces side by side ends in exactly these two, by pair code."""
         base, known = len(self.edges) + 1, self.pairs
-        if len(known) > 4 * REMEMBERED:
+        if len(known) > 2 * REMEMBERED:
             known.clear()
         distinct, back = np.unique(codes, return_inverse=True)
         out = np.empty(len(distinct), bool)
@@ -316,9 +318,13 @@ class Codec:
         plain = [w.replace(" ", SPACE) for w in fresh]
         simple = [k for k, w in enumerate(plain) if len(w) <= LONGEST_WORD and SPACE not in w[1:] and "\n" not in w]
         got: list = [None] * len(fresh)
-        if simple:
-            for k, ids in zip(simple, self._relaxed([plain[k] for k in simple])):
+        ends = np.cumsum([len(plain[k]) + 1 for k in simple])
+        at = 0
+        while at < len(simple):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_SYMBOLS)))
+            for k, ids in zip(simple[at:upto], self._relaxed([plain[k] for k in simple[at:upto]])):
                 got[k] = ids
+            at = upto
         got = [np.array(self._stepwise(w), np.int32) if ids is None else ids for w, ids in zip(plain, got)]
         size = np.array([len(x) for x in got], np.int64)
         self.begin = np.append(self.begin, np.cumsum(size) - size + len(self.flat))
@@ -333,27 +339,21 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        out: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= SLICE_CHARS):
-                chars += len(texts[upto])
-                upto += 1
-            if len(self.code) > REMEMBERED:
-                self.forget()
-            split = [self._words(t) if t else [] for t in texts[at:upto]]
-            words = [w for part in split for w in part]
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-            if self.code.fresh:
-                self._learn()
-            count = self.size[codes]
-            ends = np.cumsum(count)
-            ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[codes] - (ends - count), count)]
-            cut = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) for p in split])]
-            out += [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            at = upto
-        return out
+        return [ids for part in slices(texts) for ids in self._encode_slice(texts[part])]
+
+    def _encode_slice(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.code) > REMEMBERED:
+            self.forget()
+        split = [self._words(t) if t else [] for t in texts]
+        words = [w for part in split for w in part]
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.fresh:
+            self._learn()
+        count = self.size[codes]
+        ends = np.cumsum(count)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[codes] - (ends - count), count)]
+        cut = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) for p in split])]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of id lists; bytes that are no UTF-8 become U+FFFD."""
@@ -368,6 +368,19 @@ class Codec:
         return [t[1:] if self.vocabulary.prefix and t.startswith(" ") else t for t in texts]
 
 
+def slices(texts: list[str]) -> list[slice]:
+    """Consecutive texts of about SLICE_CHARS characters; a longer text is a slice of its own."""
+    out, at = [], 0
+    while at < len(texts):
+        upto, chars = at + 1, len(texts[at])
+        while upto < len(texts) and chars + len(texts[upto]) <= SLICE_CHARS:
+            chars += len(texts[upto])
+            upto += 1
+        out.append(slice(at, upto))
+        at = upto
+    return out
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -378,14 +391,19 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def _encode(path: str):
     def run(batches):
         for batch in batches:
-            ids = codec(path).encode(batch.column(1).to_pylist())
-            offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            listed = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed], ["doc_id", "token_ids"])
+            texts = batch.column(1).to_pylist()
+            for part in slices(texts):
+                ids = codec(path).encode(texts[part])
+                doc_ids = batch.column(0)[part.start : part.stop]
+                yield pa.RecordBatch.from_arrays([doc_ids, _listed(ids)], ["doc_id", "token_ids"])
 
     return run
 
@@ -400,10 +418,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def _decode(path: str):
     def run(batches):
-        for batch in batches:
-            ids = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
-            texts = pa.array(codec(path).decode(ids), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                ids = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
+                texts = pa.array(codec(path).decode(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
     return run
 
@@ -419,16 +439,14 @@ def _round_trip(path: str):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             both = codec(path)
-            ids = both.encode(texts)
-            back = both.decode(ids)
-            same = [a.replace(SPACE, " ") == b for a, b in zip(texts, back)]
-            offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            listed = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            crcs = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
-            counts = pa.array([len(x) for x in ids], pa.int64())
-            columns = [batch.column(0), counts, crcs, listed, pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "token_ids", "decodes"])
+            for part in slices(texts):
+                ids = both.encode(texts[part])
+                same = [a.replace(SPACE, " ") == b for a, b in zip(texts[part], both.decode(ids))]
+                crcs = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+                counts = pa.array([len(x) for x in ids], pa.int64())
+                doc_ids = batch.column(0)[part.start : part.stop]
+                columns = [doc_ids, counts, crcs, _listed(ids), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "token_ids", "decodes"])
 
     return run
 
