@@ -32,3 +32,14 @@ def local_time(ts: Column, zone: str = config.MARKET_TZ) -> Column:
 def minutes_until_close(ts: Column) -> Column:
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
     return F.greatest(F.lit(config.SESSION_CLOSE_MINUTE) - seconds / 60.0, F.lit(0.0))
+
+
+def event_order(ts: Column, event_id: Column) -> Column:
+    """One number that sorts like (ts, event_id).
+
+    A struct would do, but its buffer makes Spark sort all rows before the partial aggregation; a decimal fits
+    the hash aggregation.
+    """
+    wide = "decimal(38,0)"
+    room = F.lit("20000000000000000000").cast("decimal(20,0)")  # more than there are longs
+    return F.unix_micros(ts).cast("decimal(18,0)") * room + (event_id.cast(wide) + F.lit(str(2**63)).cast(wide))

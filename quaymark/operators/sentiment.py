@@ -11,6 +11,8 @@ DEMO_LEXICON = {
     "cuts": -1.2, "fraud": -2.8, "bad": -2.5, "crash": -1.7, "downgrade": -1.4, "worthless": -1.9,
 }
 NORMALISER = 15.0
+#: About 10 MB in memory.
+BROADCAST_WORDS = 200_000
 
 
 def lexicon_table(spark, words: dict[str, float]) -> DataFrame:
@@ -29,9 +31,12 @@ def words_of(text: Column) -> Column:
 def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, compound, n_hits) for every text.
 
-    A text without a lexicon word scores 0; a NULL text has no score. Words of one text stay in one
-    task until summed, so the shuffle carries one row per text.
+    A text without a lexicon word scores 0; a NULL text has no score. A lexicon of at most ``BROADCAST_WORDS`` words
+    (it is counted) is sent to the tasks, which sum a text's words before the shuffle: one row per text and task.
+    Beyond that, words are joined by a shuffle.
     """
+    if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        lexicon = F.broadcast(lexicon)
     present = F.col(text).isNotNull()
     words = texts.select(*keys, present.alias("_present"), F.explode_outer(words_of(F.col(text))).alias("word"))
     hits = words.join(lexicon, "word", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark import config, schemas
+from quaymark.functions import dates
 
 
 def read_bars(spark: SparkSession, path: str, schema=schemas.DAILY_BARS, fmt: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def session_bars(ticks: DataFrame, price: str, tick_id: str, minutes: int = 60)
     start = F.window("ts", f"{minutes} minutes", startTime=f"{30 % minutes} minutes")["start"]
     inside = ticks.where((minute_of_day >= 570) & (minute_of_day < config.SESSION_CLOSE_MINUTE))
     return bars_from_ticks(
-        inside.withColumn("_start", start), price, F.struct("ts", tick_id), "ticker", "_start"
+        inside.withColumn("_start", start), price, dates.event_order(F.col("ts"), F.col(tick_id)), "ticker", "_start"
     ).withColumnRenamed("_start", "ts")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark import schemas
+from quaymark.functions import dates
 from quaymark.sources import bars as bar_source
 
 MARKET = "MARKET"
@@ -105,7 +106,7 @@ def intraday_bars(spark: SparkSession, folder: str, minutes: int = 60) -> DataFr
 def event_days(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars of the same ticks, for the previous-day context."""
     daily = ticks(spark, folder).withColumn("date", F.to_date("ts"))
-    return bar_source.bars_from_ticks(daily, "value", F.struct("ts", "event_id"), "ticker", "date")
+    return bar_source.bars_from_ticks(daily, "value", dates.event_order(F.col("ts"), F.col("event_id")), "ticker", "date")
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quaymark import schemas
+from quaymark.functions import dates
 from quaymark.session import work_path
 
 LATENESS = "10 minutes"
@@ -25,7 +26,7 @@ def bars(ticks: DataFrame, width: str = "5 minutes", lateness: str = LATENESS) -
 
     The same function works on a static table, where the watermark has no effect.
     """
-    order = F.struct("ts", "event_id")
+    order = dates.event_order(F.col("ts"), F.col("event_id"))
     grouped = ticks.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "ticker")
     return grouped.agg(
         F.min_by("value", order).alias("open"),

@@ -95,7 +95,8 @@ def test_feeds_keep_the_first_items_of_a_hot_symbol(spark):
     items = spark.range(3000).selectExpr(
         "if(id % 3 = 0, 'hot', concat('s', id)) symbol", "id position", "cast(id as string) title", "'' summary"
     )
-    feeds = pulse.feeds_from_items(items)
+    feeds = pulse.feeds_from_items(items, limit=10)
+    assert pulse.feeds_from_items(items).where("symbol = 'hot'").first()["items"][10]["title"] == "30"
     hot = feeds.where("symbol = 'hot'").first()
     assert [i["title"] for i in hot["items"]] == [str(3 * k) for k in range(10)]
     assert "WindowGroupLimit" in feeds._jdf.queryExecution().executedPlan().toString()
@@ -192,3 +193,19 @@ def test_report_sinks(spark):
         back = spark.read.option("header", "true").format(fmt).load(path)
         assert sorted(back.columns) == ["note", "ticker", "x"] and back.count() == 1
     assert json.loads(sinks.as_json(frame, "ticker").first()["document"]) == {"note": None, "x": 1.0}
+
+
+def test_tick_bars_hash_and_lexicon_scores_shuffle_texts_only(spark):
+    ticks = spark.createDataFrame(
+        [("A", dt.datetime(2024, 1, 2, 10, 0), k, float(v)) for k, v in ((3, 7), (-9, 5), (2**62, 9))],
+        "ticker string, ts timestamp, event_id long, value double",
+    )
+    made = bar_source.session_bars(ticks, "value", "event_id")
+    row = made.first()
+    assert (row["open"], row["close"]) == (5.0, 9.0)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    texts = spark.createDataFrame([(1, "good good bad"), (2, None)], "id long, text string")
+    scored = sentiment.lexicon_sentiment(texts, sentiment.lexicon_table(spark, {"good": 2.0, "bad": -1.0}), "id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(word" not in plan
