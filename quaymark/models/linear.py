@@ -21,6 +21,7 @@ from quaymark.session import settle
 
 MAX_STEPS = 25
 STEP_TOLERANCE = 1e-6
+LEAST_CURVATURE = 1e-6
 
 
 def features_array(columns: list[str]) -> Column:
@@ -136,10 +137,12 @@ def fit_logistic(
     strength: float = 1.0,
     steps: int = MAX_STEPS,
 ) -> DataFrame:
-    """(keys, intercept, coefficients) of L2 logistic regressions on standardised features.
+    """(keys, intercept, coefficients, converged) of L2 logistic regressions on standardised features.
 
     Newton steps on weighted moments; ``strength`` is the inverse penalty. The small coefficient
     table is settled after each step, so lineage stays short and a lost executor costs one step.
+    Curvature has a floor, which damps the steps of groups whose classes are separable and leaves
+    the gradient as it is. ``converged`` says whether the last step was below the tolerance.
     """
     size = len(columns)
     scaling = standardisation(rows, columns, *keys)
@@ -183,7 +186,7 @@ def fit_logistic(
     for _ in range(steps):
         p = probability(linear_value(F.col("_z")))
         at = base.join(current, list(keys)).withColumn("_p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
-        bend = F.col("_p") * (1 - F.col("_p"))
+        bend = F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(LEAST_CURVATURE))
         at = at.select(
             *keys,
             F.concat("_z", F.array((F.col("_y") - F.col("_p")) / bend)).alias("_x"),
@@ -197,7 +200,10 @@ def fit_logistic(
     raw = F.zip_with("coefficients", "scale", lambda c, s: c / s)
     shift = F.aggregate(F.zip_with(raw, F.col("centre"), lambda c, m: c * m), F.lit(0.0), lambda a, b: a + b)
     return current.join(scaling, list(keys)).select(
-        *keys, (F.col("intercept") - shift).alias("intercept"), raw.alias("coefficients")
+        *keys,
+        (F.col("intercept") - shift).alias("intercept"),
+        raw.alias("coefficients"),
+        (F.col("moved") < STEP_TOLERANCE).alias("converged"),
     )
 
 

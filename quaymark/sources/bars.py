@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark import config, schemas
@@ -70,18 +70,19 @@ def guard_outage(current: DataFrame, incoming: DataFrame, key: str = "ticker") -
     """Per instrument take ``incoming`` unless it shrank below half of a cached table of > 20 rows.
 
     Instruments that arrive for the first time are taken; instruments that did not arrive are kept.
-    Both tables are read once and meet in one exchange.
+    Rows are counted before any exchange, so a large instrument costs one row per task; the verdicts, a row
+    per instrument, meet the bars in a join that can split large instruments.
     """
     tagged = current.withColumn("_fresh", F.lit(False)).unionByName(incoming.withColumn("_fresh", F.lit(True)))
-    group = Window.partitionBy(key)
-    counted = tagged.withColumns(
-        {"_fresh_n": F.count_if("_fresh").over(group), "_cached_n": F.count_if(~F.col("_fresh")).over(group)}
+    sizes = tagged.groupBy(key).agg(
+        F.count_if("_fresh").alias("_fresh_n"), F.count_if(~F.col("_fresh")).alias("_cached_n")
     )
     shrank = (F.col("_cached_n") > config.GUARD_MIN_ROWS) & (
         F.col("_fresh_n") < F.col("_cached_n") * config.GUARD_RATIO
     )
     keep_cached = (F.col("_fresh_n") == 0) | shrank
-    return counted.where(F.col("_fresh") != keep_cached).drop("_fresh", "_fresh_n", "_cached_n")
+    verdicts = sizes.select(key, keep_cached.alias("_keep_cached"))
+    return tagged.join(verdicts, key).where(F.col("_fresh") != F.col("_keep_cached")).drop("_fresh", "_keep_cached")
 
 
 def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame) -> None:

@@ -55,6 +55,18 @@ def test_logistic_gradient_vanishes(table):
         assert np.abs(z.T @ (w * (p - y)) + beta).max() < 1e-8 and abs((w * (p - y)).sum()) < 1e-8
 
 
+def test_far_from_zero_and_separable_groups(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=400)
+    rows = [("FAR", 1e8 + float(v), 2 * float(v), int(v > 0)) for v in x]
+    frame = spark.createDataFrame(rows, "ticker string, a double, y double, d int")
+    ridge = linear.fit_ridge(frame, ["a"], "y", "ticker", alpha=0.0).first()
+    assert ridge["coefficients"][0] == pytest.approx(2.0, rel=1e-6)
+    fitted = linear.fit_logistic(frame, ["a"], "d", "ticker").first()
+    assert fitted["converged"] and fitted["coefficients"][0] > 1
+    assert not linear.fit_logistic(frame, ["a"], "d", "ticker", steps=1).first()["converged"]
+
+
 def test_scoring_by_manifest_uses_own_columns(spark, table):
     frame, _ = table
     models = spark.createDataFrame(
