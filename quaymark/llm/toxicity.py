@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (TRAIN_CLEAN
     draw = common.ticket("toxicity:", F.col("doc_id"), 7)
     taken = usable.where(draw < F.when(F.col("toxic") == 1, bound[1]).otherwise(bound[0]))
     got = sorted(
-        docs.select("doc_id", common.whole_text().alias("text")).join(taken, "doc_id").collect(),
+        # The ids are as few as the training takes, so they go to the texts and not the texts to them.
+        docs.select("doc_id", common.whole_text().alias("text")).join(F.broadcast(taken), "doc_id").collect(),
         key=lambda r: (r["doc_id"], r["text"]),
     )
     drawn = Counter(int(r["toxic"]) for r in got)
