@@ -11,7 +11,9 @@ product is the closest direction. Equal vectors are one leaf; only the ``k + 1``
 be named. On Spark, all strings with one head (their first symbols) lie in one bucket of bounded size: small heads
 share a bucket, large ones are dealt over several and their queries visit all of them. The head's length is the
 longest at which ``CALIBRATION`` sampled queries, held against all vectors in blocks, reach ``RECALL``;
-structureless data thus get short heads and more candidates. No ascent ends above the head.
+structureless data thus get short heads and more candidates. Every query ascends to the head at least; it stops below
+only at a level where sampled queries with as many candidates there reach ``RECALL`` too. Queries that find fewer than
+``k`` go on with shorter heads. Head 0 scores all leaves.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or whose length is not
 the table's most common one, take no part; ties go to the smaller id; rows that repeat an id and its vector count
@@ -32,7 +34,7 @@ SYMBOLS = 5
 DIRECTIONS = 64
 BITS = 7
 PROBES = 4
-#: Queries ascend until the trees hold so many candidates each, on average.
+#: Queries may stop below the head where the trees hold so many candidates each, on average.
 EFFORT = 400
 #: Strings of a bucket, on average and for the parts of a large head.
 BUCKET = 4096
@@ -181,14 +183,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size(v) == (sizes["d"] if sizes else 0))
 
 
-def _calibrated(leaves: DataFrame, asked: DataFrame, turns: np.ndarray, longest: float, n: int, k: int) -> int:
-    """The longest head at which sampled queries find enough of their true neighbours."""
-    most = 0
-    while most < SYMBOLS - 1 and n > BUCKET * (2 * DIRECTIONS) ** most:
-        most += 1
-    if not most:
-        return 0
-    sample = asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()
+def _reached(leaves: DataFrame, sample: list, turns: np.ndarray, longest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each true neighbour of the sampled queries: whose it is, and the most symbols it shares with a probe."""
     points = np.array([r["vector"] for r in sample])
 
     def nearest(batches):
@@ -217,34 +213,44 @@ def _calibrated(leaves: DataFrame, asked: DataFrame, turns: np.ndarray, longest:
             differ = own ^ probes[:, p]
             bits = np.where(differ == 0, 0, np.floor(np.log2(np.maximum(differ, 1))) + 1)
             level = np.maximum(level, (SYMBOLS * BITS - bits).astype(np.int64) // BITS)
+    return q, level
+
+
+def _sampled(asked: DataFrame) -> list:
+    return asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()
+
+
+def _calibrated(leaves: DataFrame, asked: DataFrame, turns: np.ndarray, longest: float, n: int, k: int) -> int:
+    """The longest head at which sampled queries find enough of their true neighbours."""
+    most = 0
+    while most < SYMBOLS - 1 and n > BUCKET * (2 * DIRECTIONS) ** most:
+        most += 1
+    sample = _sampled(asked) if most else []
+    if not sample:
+        return 0
+    _, level = _reached(leaves, sample, turns, longest, k)
     while most and (level >= most).mean() < RECALL:
         most -= 1
     return most
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found of every row whose vec_id divides by ``every``."""
-    rows = common.settle(usable(vectors).dropDuplicates(["vec_id", "vector"]))
-    place = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
-    named = rows.withColumn("place", place).where(F.col("place") <= k + 1)
-    first = F.first("vec_id").over(W.partitionBy("vector").orderBy("vec_id"))
-    members = common.settle(named.withColumn("id", first))
-    leaves = common.settle(members.where("place = 1").select("id", "vector"))
-    queries = common.settle(
-        rows.where(F.col("vec_id") % every == 0).join(leaves, "vector").select(F.col("vec_id").alias("query_id"), "id")
-    )
-    asked = common.settle(leaves.join(queries.select("id").distinct(), "id", "left_semi"))
-    shape = leaves.agg(
-        F.count("*").alias("n"), F.max(F.size("vector")).alias("d"),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("square"),
-    ).first()
-    n, longest = shape["n"], float(shape["square"] or 1.0) ** 0.5
-    turns = rotations(shape["d"] or 1, trees)
-    head = _calibrated(leaves, asked, turns, longest, n, k) if n else 0
+def _deeper(leaves: DataFrame, asked: DataFrame, counts: DataFrame, turns: np.ndarray, longest: float, head: int, k: int) -> list[int]:
+    """The levels below the head at which sampled queries with enough candidates there find enough of their neighbours."""
+    deeper = []
+    for one in range(head + 1, SYMBOLS + 1):
+        crowded = counts.where(F.col(_LEVELS[one]) >= len(turns) * EFFORT).select("id")
+        sample = _sampled(asked.join(crowded, "id", "left_semi"))
+        if not sample or (_reached(leaves, sample, turns, longest, k)[1] >= one).mean() < RECALL:
+            break
+        deeper.append(one)
+    return deeper
 
-    form = "id long, tree int, key long, packed binary"
-    hashed = common.settle(leaves.mapInArrow(_hashed(turns, longest, 1, False), form))
-    probing = common.settle(asked.mapInArrow(_hashed(turns, longest, PROBES, True), form))
+
+def _searched(
+    leaves: DataFrame, asked: DataFrame, hashed: DataFrame, probing: DataFrame, turns: np.ndarray, longest: float, n: int, head: int, k: int
+) -> DataFrame:
+    """``id, other, score``: the best leaves that share the head, or a longer prefix, with a probe of the query."""
+    trees = len(turns)
     shift = BITS * (SYMBOLS - head)
     headed = F.shiftright("key", shift).alias("head") if head else F.lit(0).cast("long").alias("head")
     if not head:  # the root: one tree holds everything, and one string a query
@@ -266,16 +272,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
         .select("*", bucket)
     )
     lean = ["bucket", "tree", "key", "id"]
-    counted = (
-        stored.select(*lean).groupBy("bucket").cogroup(visits.select(*lean).groupBy("bucket"))
-        .applyInPandas(_count(head), "id long, " + ", ".join(f"{c} long" for c in _LEVELS))
-    )
-    enough = trees * EFFORT
-    level = F.lit(head)
-    for one in range(head + 1, SYMBOLS + 1):  # the last that holds is the deepest
-        level = F.when(F.col(_LEVELS[one]) >= enough, one).otherwise(level)
-    ascents = counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in _LEVELS]).select("id", level.alias("level"))
-    asking = visits.join(common.settle(ascents), "id")
+    asking = visits.withColumn("level", F.lit(head))
+    if head:
+        counted = (
+            stored.select(*lean).groupBy("bucket").cogroup(visits.select(*lean).groupBy("bucket"))
+            .applyInPandas(_count(head), "id long, " + ", ".join(f"{c} long" for c in _LEVELS))
+        )
+        counts = common.settle(counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in _LEVELS]))
+        level = F.lit(head)
+        for one in _deeper(leaves, asked, counts, turns, longest, head, k):  # the last that holds is the deepest
+            level = F.when(F.col(_LEVELS[one]) >= trees * EFFORT, one).otherwise(level)
+        asking = visits.join(counts.select("id", level.alias("level")), "id")
     found = (
         stored.select(*lean, "packed").groupBy("bucket")
         .cogroup(asking.select(*lean, "packed", "level").groupBy("bucket"))
@@ -283,7 +290,44 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
     )
     distinct = found.groupBy("id", "other").agg(F.max("score").alias("score"))
     near = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
-    best = common.settle(distinct.withColumn("near", near).where(F.col("near") <= k + 1).select("id", "other", "score"))
+    return common.settle(distinct.withColumn("near", near).where(F.col("near") <= k + 1).select("id", "other", "score"))
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found of every row whose vec_id divides by ``every``."""
+    rows = common.settle(usable(vectors).dropDuplicates(["vec_id", "vector"]))
+    place = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
+    named = rows.withColumn("place", place).where(F.col("place") <= k + 1)
+    first = F.first("vec_id").over(W.partitionBy("vector").orderBy("vec_id"))
+    members = common.settle(named.withColumn("id", first))
+    leaves = common.settle(members.where("place = 1").select("id", "vector"))
+    queries = common.settle(
+        rows.where(F.col("vec_id") % every == 0).join(leaves, "vector").select(F.col("vec_id").alias("query_id"), "id")
+    )
+    asked = common.settle(leaves.join(queries.select("id").distinct(), "id", "left_semi"))
+    shape = leaves.agg(
+        F.count("*").alias("n"), F.max(F.size("vector")).alias("d"),
+        F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("square"),
+    ).first()
+    n, longest = shape["n"], float(shape["square"] or 1.0) ** 0.5
+    turns = rotations(shape["d"] or 1, trees)
+    head = _calibrated(leaves, asked, turns, longest, n, k) if n else 0
+
+    form = "id long, tree int, key long, packed binary"
+    hashed = common.settle(leaves.mapInArrow(_hashed(turns, longest, 1, False), form))
+    probing = common.settle(asked.mapInArrow(_hashed(turns, longest, PROBES, True), form))
+    best = _searched(leaves, asked, hashed, probing, turns, longest, n, head, k)
+    held = members.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("held"))
+    others = F.sum("held") - F.max((F.col("other") == F.col("id")).cast("int"))
+    while head:
+        full = best.join(held, "other").groupBy("id").agg(others.alias("others")).where(F.col("others") >= k)
+        short = common.settle(asked.join(full, "id", "left_anti"))
+        if short.isEmpty():
+            break
+        head -= 1
+        again = probing.join(short.select("id"), "id", "left_semi")
+        more = _searched(leaves, short, hashed, again, turns, longest, n, head, k)
+        best = common.settle(best.join(more.select("id").distinct(), "id", "left_anti").unionByName(more))
     named = best.join(members.select(F.col("id").alias("other"), "vec_id"), "other").select("id", "vec_id", "score")
     answers = queries.join(named, "id").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -41,6 +41,31 @@ def test_forest_recall_and_scores(spark):
         assert pairs == sorted(pairs, key=lambda p: (-p[1], p[0]))
 
 
+@pytest.mark.parametrize("bucket,least", [(4096, 1.0), (16, 0.9)])
+def test_forest_of_crowded_prefixes(spark, monkeypatch, bucket, least):
+    """Enough candidates below the head do not end a search there: all leaves at head 0, measured recall at longer ones."""
+    monkeypatch.setattr(hash_forest, "EFFORT", 1)
+    monkeypatch.setattr(hash_forest, "BUCKET", bucket)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 12)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hash_forest.nearest(frame).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _nearest(np.arange(3000), vectors.astype(np.float64))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= least * 20 * len(want)
+
+
+def test_forest_goes_on_where_too_few_are_found(spark, monkeypatch):
+    """Queries without company in their cells go to shorter prefixes until they have k."""
+    monkeypatch.setattr(hash_forest, "_calibrated", lambda *_: 2)
+    vectors = np.random.default_rng(9).normal(size=(600, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = hash_forest.nearest(frame).groupBy("query_id").count().collect()
+    assert len(got) == 30 and {r["count"] for r in got} == {20}
+
+
 def test_forest_of_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [], 1), (4, [0.0, 0.0], 1),
