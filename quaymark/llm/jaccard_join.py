@@ -5,7 +5,9 @@ share tokens in proportion to their similarity. A run splits all sets on a few s
 same coordinates are drawn for all its sets, each with probability ``1 / (SIMILARITY * TOKENS)``, and sets that
 share the token go on together. Small buckets are compared by brute force on the embedded sets; large ones are
 split further, up to ``DEPTH`` times, and what then is still together stays one candidate group. Runs repeat until
-a pair at the threshold is met with probability ``TARGET``.
+a pair at the threshold is met with probability ``TARGET``, averaged over the tokens such a pair shares (all runs use
+the same embedding). Two sets that share a large bucket after the first split may need all ``DEPTH``, where a run keeps
+fewer pairs: every set that was in one takes part in further runs.
 
 Candidate pairs are kept as connections, not as all pairs. Connected candidates form groups, and inside a group
 every pair is verified on the exact shingle sets, in blocks of ``BLOCK`` documents, so no link found by chance only
@@ -34,8 +36,6 @@ from quaymark.llm.shingles import mixed, shingle_sets
 SIMILARITY = 0.8
 TOKENS = 40
 TARGET = 0.999
-#: Chance that one run keeps a pair at the threshold together down to a few splits.
-_KEPT = 0.4
 DEPTH = 6
 SMALL = 64
 #: Brute force on embedded sets lets pairs pass from this share of equal tokens on: four deviations below.
@@ -46,8 +46,36 @@ _COLUMNS = 4096
 _SEEDS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def runs(target: float = TARGET) -> int:
-    return math.ceil(math.log(1 - target) / math.log(1 - _KEPT))
+def _shared() -> list[tuple[int, float]]:
+    """How many equal tokens a pair at the threshold has, with the chance of each number."""
+    chance = lambda m: math.comb(TOKENS, m) * SIMILARITY**m * (1 - SIMILARITY) ** (TOKENS - m)
+    return [(m, chance(m)) for m in range(TOKENS + 1)]
+
+
+def missed(n_runs: int, depth: int) -> float:
+    """The chance that no run keeps a pair at the threshold through ``depth`` splits or its tokens don't pass then."""
+    lost = 0.0
+    for m, chance in _shared():
+        kept = 1.0
+        for _ in range(depth):
+            kept = 1 - (1 - kept / (SIMILARITY * TOKENS)) ** m
+        lost += chance * ((1 - kept) ** n_runs if m >= PASSES * TOKENS else 1.0)
+    return lost
+
+
+def runs(target: float = TARGET) -> tuple[int, int]:
+    """Runs over all sets, and how many there are in all for sets from large buckets.
+
+    A pair is missed if its tokens don't pass, if no run over all sets keeps it through the first split (at most a
+    twentieth of the misses allowed), or if every run loses it on the way to ``DEPTH``.
+    """
+    apart = sum(chance for m, chance in _shared() if m < PASSES * TOKENS)
+    if 1 - target <= apart:
+        raise ValueError(f"a target above {1 - apart} needs more tokens")
+    spare = 1 - target - apart
+    every = next(n for n in range(1, 10_000) if missed(n, 1) - apart <= spare / 20)
+    crowded = next(n for n in range(every, 10_000) if missed(n, DEPTH) - apart + missed(every, 1) - apart <= spare)
+    return every, crowded
 
 
 def embedded(shingles: np.ndarray) -> np.ndarray:
@@ -139,11 +167,10 @@ def _compare(batches):
         yield flush(*held)
 
 
-def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
-    """``a, b``: connections that put every pair met by a run into one component."""
-    roots = F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("path")
+def _met(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """The runs from ``first`` to ``last``: small buckets, connections of large ones, sets in large ones after a split."""
+    roots = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("path")
     level = reps.select(roots, "rep", "tokens").select(F.col("path").cast("long").alias("path"), "rep", "tokens")
-    sketch = F.expr("unhex(array_join(transform(tokens, t -> lpad(hex(t & 255), 2, '0')), ''))").alias("sketch")
     leaves, connected = [], []
     for depth in range(1, DEPTH + 1):
         rows = _split(level, depth)
@@ -154,6 +181,8 @@ def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
         met = common.settle(rows.join(common.settle(sizes), "path"))
         leaves.append(met.where(F.col("size") <= SMALL).select("path", "rep"))
         large = met.where(F.col("size") > SMALL)
+        if depth == 1:
+            crowded = large.select("rep").distinct()
         if depth == DEPTH:
             connected.append(large.select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b"))
         elif large.isEmpty():
@@ -163,6 +192,18 @@ def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
+    return small, connected, crowded
+
+
+def _candidates(reps: DataFrame, n_runs: tuple[int, int]) -> DataFrame:
+    """``a, b``: connections that put every pair met by a run into one component."""
+    every, most = n_runs
+    sketch = F.expr("unhex(array_join(transform(tokens, t -> lpad(hex(t & 255), 2, '0')), ''))").alias("sketch")
+    small, connected, crowded = _met(reps, 1, every)
+    crowded = common.settle(crowded.join(reps.select("rep", "tokens"), "rep"))
+    if most > every and not crowded.isEmpty():
+        more, deep, _ = _met(crowded, every + 1, most)
+        small, connected = small.unionByName(more), connected + deep
     sketched = small.join(reps.select("rep", sketch), "rep").select("path", "rep", "sketch")
     compared = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(_compare, "a long, b long")
     for more in connected:

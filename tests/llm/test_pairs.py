@@ -70,6 +70,28 @@ def test_join_finds_every_link(spark, monkeypatch, small, block):
     assert [rows[k]["n_links"] for k in range(len(texts))] == links
 
 
+def test_runs_meet_the_target_through_all_splits():
+    """Simulated: pairs at the threshold, their equal tokens fixed over the runs, each run split down to the depth."""
+    rng = np.random.default_rng(3)
+    every, crowded = jaccard_join.runs()
+    shared = rng.binomial(jaccard_join.TOKENS, jaccard_join.SIMILARITY, 100_000)
+    draw = 1 / (jaccard_join.SIMILARITY * jaccard_join.TOKENS)
+
+    def lost(n_runs, depth):
+        left = np.arange(len(shared))
+        for _ in range(n_runs):
+            together = np.ones(len(left), np.int64)
+            for _ in range(depth):
+                together = rng.binomial(shared[left] * together, draw)
+            left = left[together == 0]
+        return left
+
+    allowed = 1 - jaccard_join.TARGET
+    passes = shared >= jaccard_join.PASSES * jaccard_join.TOKENS
+    missed = (~passes).sum() + passes[lost(crowded, jaccard_join.DEPTH)].sum() + passes[lost(every, 1)].sum()
+    assert missed / len(shared) <= 1.3 * allowed
+
+
 def test_join_of_odd_rows(spark):
     rows = {r["doc_id"]: r for r in jaccard_join.join(odd_rows(spark)).collect()}
     assert sorted(rows) == [1, 2, 3, 4, 5, 6, 7, 8]
