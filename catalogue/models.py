@@ -8,7 +8,7 @@ from catalogue.intraday import CTES as INTRADAY_CTES
 from catalogue.intraday import DAY_SPLIT
 from catalogue.macro import ALIGNED, ENHANCED, MACRO_CTES
 from catalogue.news import CARRIED, COVERED, NEWS_CTES, NEWS_SPEC, TICKER_NEWS, TICKERS, scored
-from quaymark import schemas
+from quaymark import config, schemas
 from quaymark.models import linear, trees
 from quaymark.operators import features, intraday, macro, metrics, news, splits
 from quaymark.plans import intraday_training, training
@@ -74,10 +74,18 @@ def logistic_direction(spark, folder):
 
 
 def rf_feature_topk(spark, folder):
-    data = splits.chrono_split(market_data(spark, folder), "ticker").where("split = 'train'")
-    probe = {"numTrees": 30, "maxDepth": 5, "minInstancesPerNode": 5}
-    model = trees.fit_tree(data, schemas.OWN_FEATURES, "forest", "regression", probe)
-    return portable(trees.feature_ranking(model, schemas.OWN_FEATURES, spark).where("rank <= 20"))
+    """The best columns of every instrument and of the market index, by the library's own probe."""
+    bars = settle(derived.all_bars(spark, folder))
+    data = features.dataset(features.own_features(bars), schemas.OWN_FEATURES)
+    train = settle(splits.chrono_split(data, "ticker").where("split = 'train'"))
+    ranked = []
+    for (ticker,) in train.select("ticker").distinct().orderBy("ticker").collect():
+        model = trees.fit_tree(
+            train.where(F.col("ticker") == ticker), schemas.OWN_FEATURES, "forest", "regression", trees.PROBE
+        )
+        ranking = trees.feature_ranking(model, schemas.OWN_FEATURES, spark)
+        ranked.append(ranking.select(F.lit(ticker).alias("ticker"), "*"))
+    return portable(linear.stack(ranked).where(F.col("rank") <= config.TOP_FEATURES))
 
 
 SMALL_TREES = training.TreePlan(

@@ -22,6 +22,7 @@ LEARNERS = {
     ("boost", "classification"): GBTClassifier,
 }
 GRIDS = {"forest": config.FOREST_GRID, "boost": config.BOOST_GRID}
+PROBE = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 5}
 LABELS = {"regression": "target_return", "classification": "target_direction"}
 
 
@@ -130,8 +131,7 @@ def top_features(
     """The ``top`` columns by forest importance; all columns when there are no more than that."""
     if len(columns) <= top:
         return list(columns)
-    probe = params or {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 5}
-    model = fit_tree(train, columns, "forest", task, probe)
+    model = fit_tree(train, columns, "forest", task, params or PROBE)
     ranking = feature_ranking(model, columns, train.sparkSession)
     return [row["feature"] for row in ranking.where(F.col("rank") <= top).orderBy("rank").collect()]
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from catalogue import models
 from quaymark import schemas
 from quaymark.models import linear, store, trees
 from quaymark.operators import features, intraday, splits
@@ -124,6 +125,16 @@ def tiny_plan(recency):
     )
 
 
+def test_feature_ranking_covers_every_instrument(spark, own, monkeypatch):
+    used, fit = [], trees.fit_tree
+    monkeypatch.setattr(trees, "fit_tree", lambda *a, **k: used.append(a[4]) or fit(*a, **k))
+    rows = models.rf_feature_topk(spark, FOLDER).collect()
+    tickers = {r["ticker"] for r in own.select("ticker").distinct().collect()}
+    ranks = {t: sorted(r["rank"] for r in rows if r["ticker"] == t) for t in tickers}
+    assert ranks == {t: list(range(1, 21)) for t in tickers}
+    assert used == [{"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 5}] * len(tickers)
+
+
 def test_tree_candidates_save_and_load(spark, own):
     market = features.dataset(own.where("ticker = 'MARKET'"), schemas.OWN_FEATURES)
     metrics_table, models, chosen, _ = training.tree_candidates(market, schemas.OWN_FEATURES, "regression", tiny_plan(True))
