@@ -201,7 +201,7 @@ def main_text(html: str | None) -> str:
         common = common[:same]
     root = common[-1]
     return "\n\n".join(
-        line[0] for line, keep in zip(lines, wanted) if keep and root in _chain(page.parents, line[1])
+        line[0] for line in lines if not line[2] and root in _chain(page.parents, line[1])
     )
 
 

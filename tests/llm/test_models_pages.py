@@ -219,3 +219,11 @@ def test_pipeline_stage_by_stage(spark):
     want = sorted((r[0], codec.encode([r[1]])[0].tolist()) for r in after)
     rows = queries.QUERIES["pipeline"](spark, SMALL).collect()
     assert sorted((r["doc_id"], r["token_ids"]) for r in rows) == want and all(r["decodes"] for r in rows)
+
+
+def test_lines_of_links_stay_inside_the_chosen_root():
+    prose = "".join(f"<p>{'plain words of a long paragraph ' * 8}{i}</p>" for i in range(6))
+    cited = '<p><a href="/r">a reference whose whole line is a link</a></p>'
+    page = f"<html><body><div><a href='/'>front page link</a></div><div><div>{prose}{cited}{prose}</div></div></body></html>"
+    text = html_text.main_text(page)
+    assert "a reference whose whole line is a link" in text and "front page link" not in text
