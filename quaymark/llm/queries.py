@@ -5,7 +5,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, repeats, sentencepiece_codec, token_store, toxicity
+from quaymark.llm import (
+    common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, packing, repeats, sentencepiece_codec,
+    token_store, toxicity,
+)
 
 
 def op1_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +58,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(common.table(spark, folder, "pages"))
 
 
+def op12_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,6 +74,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_output": op9_token_output,
     "op10_html_text": op10_html_text,
+    "op12_bestfit_packing": op12_bestfit_packing,
     "pipeline": corpus_pipeline.run,
 }
 
