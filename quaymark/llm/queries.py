@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import (
-    common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, packing, repeats, sentencepiece_codec,
+    common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, packing, repeats, runs, sentencepiece_codec,
     token_store, toxicity,
 )
 
@@ -63,6 +63,10 @@ def op12_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.summary(runs.find(common.table(spark, folder, "documents"), runs.planted))
+
+
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,9 +79,16 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_html_text": op10_html_text,
     "op12_bestfit_packing": op12_bestfit_packing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
+#: crc32 of the decimal id (null: of no digits) in SQL: a byte is mixed in, then eight steps follow.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    list_filter(string_split(coalesce(CAST({id} AS VARCHAR), ''), ''), lambda c: c <> ''),
+    lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295)"""
+
 ORACLES = {
     "op2_exact_dedup": r"""
 WITH plain AS (
@@ -128,4 +139,43 @@ SELECT doc_id, size, source_size, target,
 FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source
 JOIN ends ON plan.source IS NOT DISTINCT FROM ends.source
 """,
+    "op13_periodic_runs": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         {crc} AS h
+  FROM documents
+), places AS (
+  SELECT key, doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS moved,
+         h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) ELSE 0 END AS a
+  FROM docs
+), word AS (
+  SELECT key, i, words[1 + CASE WHEN moved AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END] AS w
+  FROM places, LATERAL (SELECT unnest(range(n)) AS i)
+), twins AS (
+  SELECT x.key, x.i, y.i - x.i AS p FROM word x JOIN word y ON x.key = y.key AND x.w = y.w AND y.i > x.i
+), stretches AS (
+  SELECT key, p, min(i) AS start, max(i) + 1 + p AS stop FROM (
+    SELECT key, p, i, i - row_number() OVER (PARTITION BY key, p ORDER BY i) AS island FROM twins
+  ) GROUP BY key, p, island HAVING count(*) + p >= greatest({least}, {fold} * p)
+), found AS (
+  SELECT key, start, stop - start AS length, min(p) AS period FROM stretches GROUP BY key, start, stop
+), kept AS (
+  SELECT key, i, w FROM word
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.key = word.key AND i >= f.start + f.period AND i < f.start + f.length)
+), collapsed AS (
+  SELECT key, sha256(string_agg(w, ' ' ORDER BY i)) AS digest FROM kept GROUP BY key
+), told AS (
+  SELECT key, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest
+  FROM found GROUP BY key
+), top AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.key = f.key AND (
+      o.length * f.period > f.length * o.period
+      OR o.length * f.period = f.length * o.period AND (o.start < f.start OR o.start = f.start AND o.period < f.period)))
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start, top.length, top.period,
+       top.length * 1000 // top.period AS exponent_milli,
+       coalesce(told.digest, sha256('')) AS runs_sha256, coalesce(collapsed.digest, sha256('')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (key) LEFT JOIN top USING (key) LEFT JOIN collapsed USING (key)
+""".format(crc=CRC.format(id="doc_id"), least=runs.LEAST, fold=runs.FOLD),
 }
