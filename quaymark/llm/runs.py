@@ -2,7 +2,7 @@
 
 A run is a stretch of words with smallest period q that no neighbouring word extends, of at least ``LEAST`` words and
 ``FOLD`` periods. The periods from 2^k to 2^(k+1) - 1 are an octave. For every octave a document is covered by tiles of
-``BOUNDARIES`` boundaries, a step of about 1.5 * 2^k words apart, so each run of the octave holds at least two of them.
+``BOUNDARIES`` boundaries, a step of about 0.75 * 2^k words apart, so each run of the octave holds several of them.
 Tiles are solved on their own: at a boundary the Z function of the text that follows tells for each period of the
 octave how long it agrees with itself one period later, and the Z function of the reversed text how far back; a value
 counts up to one step, which is the overlap of a tile with its neighbours. Values that reach a whole step are told by
@@ -47,9 +47,9 @@ def least_length(period):
 
 
 def _step(octave: int) -> int:
-    """The distance of boundaries: half the words that return in the shortest run of the octave."""
+    """The distance of boundaries: a quarter of the words that return in the shortest run of the octave."""
     low = 1 << octave
-    return int(min(least_length(p) - p for p in range(low, min(2 * low, low + 8)))) // 2
+    return int(min(least_length(p) - p for p in range(low, min(2 * low, low + 8)))) // 4
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,16 +57,15 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a ^ mixed(b * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545F4914F6CDD1D)))
 
 
-@functools.lru_cache(100_000)
-def _primes(n: int) -> tuple[int, ...]:
-    found, r = [], 2
-    while r * r <= n:
-        if n % r == 0:
-            found.append(r)
-            while n % r == 0:
-                n //= r
-        r += 1
-    return tuple(found + [n] * (n > 1))
+@functools.lru_cache(1)
+def _least_primes(n: int) -> np.ndarray:
+    """The least prime factor of every number up to n."""
+    least = np.arange(n + 1)
+    root = int(n**0.5) + 1
+    for i in range(root, 1, -1):
+        if all(i % r for r in range(2, int(i**0.5) + 1)):
+            least[i * i :: i] = i
+    return least
 
 
 def _agreeing(names: np.ndarray, octave: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,22 +91,28 @@ def _agreeing(names: np.ndarray, octave: int, step: int) -> tuple[np.ndarray, np
 
 def _primitive(half: np.ndarray, width: int, at: np.ndarray, period: np.ndarray) -> np.ndarray:
     """Which blocks of one period are no power of a shorter block; ``half`` names blocks of ``width`` words."""
-    keep = np.ones(len(at), bool)
-    order = np.argsort(period, kind="stable")
-    cuts = np.flatnonzero(np.diff(period[order])) + 1
-    for own in np.split(order, cuts):
-        if not len(own) or period[own[0]] == 1:
-            continue
-        p, m = int(period[own[0]]), at[own]
-        power = np.zeros(len(own), bool)
-        for r in _primes(p):
-            shift, length = p // r, p - p // r
-            same = np.ones(len(own), bool)
-            for off in {min(o, length - width) for o in range(0, length, width)}:
-                same &= half[m + off] == half[m + off + shift]
-            power |= same
-        keep[own] = ~power
-    return keep
+    least = _least_primes(4 * width)
+    keep = np.flatnonzero(period > 1)
+    rest, alone = period[keep], np.flatnonzero(period == 1)
+    prime, done = np.zeros(len(keep), np.int64), []
+    while len(keep):
+        last, prime = prime, least[rest]
+        rest = rest // prime
+        again = prime != last
+        m, shift = at[keep[again]], period[keep[again]] // prime[again]
+        over = period[keep[again]] - shift - width  # a block of the first period, less a shift, is four halves at most
+        same = np.ones(len(m), bool)
+        for k in range(4):
+            i = m + np.minimum(k * width, over)
+            same &= half[i] == half[i + shift]
+        power = np.zeros(len(keep), bool)
+        power[again] = same
+        done.append(keep[~power & (rest == 1)])
+        going = ~power & (rest > 1)
+        keep, rest, prime = keep[going], rest[going], prime[going]
+    found = np.zeros(len(at), bool)
+    found[np.concatenate([alone, *done])] = True
+    return found
 
 
 def _reach(words: np.ndarray, at: np.ndarray, period: np.ndarray, step: int, forward: bool) -> np.ndarray:
@@ -124,23 +129,28 @@ def _reach(words: np.ndarray, at: np.ndarray, period: np.ndarray, step: int, for
 
 
 def _octave(words, names, half, octave: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``period, start, end`` of the fragments in all tiles of an octave."""
-    step, width = _step(octave), 1 << octave
-    if octave:
-        blocks = _joined(names[: len(names) - step + width], half[width:][: len(names) - step + width])
-    else:
-        blocks = _joined(names[:-1], names[1:])
+    """``period, start, end`` of the fragments in all tiles of an octave.
+
+    ``names`` are those of blocks of half the octave's least period, ``half`` those of blocks half as long.
+    """
+    step = _step(octave)
+    width = max(1, 1 << octave >> 1)
+    blocks = names if step == 1 else _joined(names[: len(names) - step + width], half[width:][: len(names) - step + width])
     boundary, period = _agreeing(blocks, octave, step)
-    if octave and len(boundary):
-        own = _primitive(half, width // 2, boundary * step, period)
-        boundary, period = boundary[own], period[own]
-    if not len(boundary):
-        return (np.zeros(0, np.int64),) * 3
     order = np.lexsort((boundary, period))
     boundary, period = boundary[order], period[order]
-    new = (np.diff(period) != 0) | (np.diff(boundary) != 1) | (np.diff(boundary // BOUNDARIES) != 0)
+    # A run holds three values of a whole step one after another; a tile sees two boundaries of its neighbours for that.
+    new = (np.diff(period) != 0) | (np.diff(boundary) != 1)
+    chain = np.cumsum(np.concatenate([[0], new])) if len(boundary) else boundary
+    keep = np.bincount(chain)[chain] >= 3
+    boundary, period, chain = boundary[keep], period[keep], chain[keep]
+    if not len(boundary):
+        return (np.zeros(0, np.int64),) * 3
+    new = (np.diff(chain) != 0) | (np.diff(boundary // BOUNDARIES) != 0)
     first, last = np.concatenate([[True], new]), np.concatenate([new, [True]])
     period, a, b = period[first], boundary[first] * step, boundary[last] * step + step
+    own = _primitive(names, width, a, period)
+    period, a, b = period[own], a[own], b[own]
     back, on = _reach(words, a, period, step, False), _reach(words, b, period, step, True)
     start, end = a - back, b + on
     keep = (back == step) | (on == step) | (end - start + period >= least_length(period))
@@ -171,8 +181,9 @@ def fragments(documents: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         for d, p, s, e in zip(document, period, start - begin, end - begin):
             if e + p <= lengths[d]:
                 found[order[d]].append((int(p), int(s), int(e)))
-        width = 1 << octave
-        names, half = _joined(names[:-width], names[width:]), names
+        if octave:
+            width = 1 << octave >> 1
+            names, half = _joined(names[:-width], names[width:]), names
         octave += 1
 
 
