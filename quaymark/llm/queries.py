@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import (
-    common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, packing, repeats, runs, sentencepiece_codec,
-    token_store, toxicity,
+    common, exact_dedup, hash_forest, html_text, jaccard_join, language, mixing, packing, prefix_trie, repeats, runs,
+    sentencepiece_codec, token_store, toxicity,
 )
 
 
@@ -58,6 +58,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(common.table(spark, folder, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    talks = prefix_trie.encoded(common.table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(talks))
+
+
 def op12_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
     return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_output": op9_token_output,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_bestfit_packing": op12_bestfit_packing,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
@@ -139,6 +145,44 @@ SELECT doc_id, size, source_size, target,
 FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source
 JOIN ends ON plan.source IS NOT DISTINCT FROM ends.source
 """,
+    "op11_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
+  FROM (
+    SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+           strlen(coalesce(text, '')) AS size
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+), convs AS (
+  SELECT conv_id, {crc} % {head} AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+  SELECT c.conv_id, place, digest, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % {family} AND place <= h
+  UNION ALL
+  SELECT c.conv_id, place, digest, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h
+), prefixes AS (
+  SELECT conv_id, row_number() OVER along AS depth, size, sha256(string_agg(digest, '') OVER along) AS prefix
+  FROM rebuilt WINDOW along AS (PARTITION BY conv_id ORDER BY place)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), told AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends, lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth) AS up
+  FROM prefixes
+), nodes AS (
+  SELECT prefix, up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(size) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM told GROUP BY prefix, up
+), counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n_children, 0) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.prefix = n.up
+  LEFT JOIN (SELECT up, count(*) AS n_children FROM nodes GROUP BY up) c ON c.up = n.prefix
+), sums AS (
+  SELECT t.prefix, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM counted n JOIN told t ON t.conv_id = n.conv_id AND t.depth <= n.depth GROUP BY t.prefix
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted JOIN sums USING (prefix)
+""".format(crc=CRC.format(id="conv_id"), head=prefix_trie.HEAD, family=prefix_trie.FAMILY),
     "op13_periodic_runs": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
