@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quaymark import config
 from quaymark.functions import dates, labels, weights
-from quaymark.operators import estimators
+from quaymark.operators import estimators, prior
 
 
 def forward_panel(bars: DataFrame, horizons: dict[str, int], *keys: str) -> DataFrame:
@@ -166,18 +166,10 @@ def _market_medians(
     history = forward_panel(market.select("date", "close", F.lit(0).alias("_m")), horizons, "_m").where(
         F.col("fwd").isNotNull()
     )
-    # One market is one window group; spread its rows before they meet the as-of days.
-    history = history.repartition("horizon", "date")
-    known = history["end_date"] < days["as_of"] if before_only else F.lit(True)
-    pairs = days.join(history, (days["horizon"] == history["horizon"]) & known).select(
-        days["horizon"],
-        "as_of",
-        F.col("fwd").alias("value"),
-        weights.recency_by_days(F.col("as_of"), F.col("date")).alias("weight"),
-    )
-    return estimators.weighted_median(pairs, "horizon", "as_of").withColumnsRenamed(
-        {"weighted_median": "market_median", "as_of": as_of}
-    )
+    values = history.select("horizon", "date", "end_date", F.col("fwd").alias("value"))
+    # Before an anchor only finished windows count; a live forecast weighs all of them by the age of their start.
+    known = {"known": "end_date", "strictly": True} if before_only else {"known": "date", "strictly": False, "unknown_too": True}
+    return prior.as_of_medians(days, values, "horizon", **known).withColumnRenamed("as_of", as_of)
 
 
 def with_anchor(panel: DataFrame, days_ago: int = config.ANCHOR_DAYS_AGO) -> DataFrame:
