@@ -38,6 +38,8 @@ TOKENS = 40
 TARGET = 0.999
 DEPTH = 6
 SMALL = 64
+#: Runs after which sets are grouped for the first time.
+FIRST = 3
 #: Brute force on embedded sets lets pairs pass from this share of equal tokens on: four deviations below.
 PASSES = 0.54
 BLOCK = 256
@@ -111,10 +113,10 @@ def _chosen(path, seed: int):
 
 
 def _split(rows: DataFrame, seed: int) -> DataFrame:
-    """``path, rep, tokens`` -> the children of every row's node."""
+    """``path, rep, root, tokens`` -> the children of every row's node."""
     step = F.explode(_chosen(F.col("path"), seed)).alias("i")
     child = F.xxhash64("path", "i", F.element_at("tokens", F.col("i") + 1))
-    return rows.select("path", "rep", "tokens", step).select(child.alias("path"), "rep")
+    return rows.select("path", "rep", "root", "tokens", step).select(child.alias("path"), "rep", "root")
 
 
 def _connected(near: np.ndarray) -> np.ndarray:
@@ -168,47 +170,78 @@ def _compare(batches):
 
 
 def _met(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """The runs from ``first`` to ``last``: small buckets, connections of large ones, sets in large ones after a split."""
+    """The runs from ``first`` to ``last``: small buckets, connections of large ones, sets in large ones after a split.
+
+    ``reps`` carry the ``root`` of the group that earlier runs put them in. A bucket whose sets are all in one group
+    can connect nothing more, so it ends there: a crowd of near copies goes through a few runs and not through all.
+    """
     roots = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("path")
-    level = reps.select(roots, "rep", "tokens").select(F.col("path").cast("long").alias("path"), "rep", "tokens")
+    level = reps.select(roots, "rep", "root", "tokens")
+    level = level.select(F.col("path").cast("long").alias("path"), "rep", "root", "tokens")
     leaves, connected = [], []
     for depth in range(1, DEPTH + 1):
         rows = _split(level, depth)
         if depth > 1:  # a node that splits on nothing ends here
             rows = rows.distinct()
         rows = common.settle(rows)
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
+        sizes = rows.groupBy("path").agg(
+            F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("_most")
+        )
+        sizes = sizes.where("least <> _most").drop("_most")
         met = common.settle(rows.join(common.settle(sizes), "path"))
-        leaves.append(met.where(F.col("size") <= SMALL).select("path", "rep"))
+        leaves.append(met.where(F.col("size") <= SMALL).select("path", "rep", "root"))
         large = met.where(F.col("size") > SMALL)
         if depth == 1:
             crowded = large.select("rep").distinct()
         if depth == DEPTH:
-            connected.append(large.select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b"))
+            connected.append(large.select(F.col("root").alias("a"), F.col("least").alias("b")))
         elif large.isEmpty():
             break
         else:
-            level = large.select("path", "rep").join(reps.select("rep", "tokens"), "rep")
+            level = large.select("path", "rep").join(reps.select("rep", "root", "tokens"), "rep")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
     return small, connected, crowded
 
 
-def _candidates(reps: DataFrame, n_runs: tuple[int, int]) -> DataFrame:
-    """``a, b``: connections that put every pair met by a run into one component."""
-    every, most = n_runs
+def _compared(reps: DataFrame, small: DataFrame, connected: list[DataFrame]) -> DataFrame:
+    """``a, b``: connections between groups, by sets that pass in small buckets or are still together in large ones."""
     sketch = F.expr("unhex(array_join(transform(tokens, t -> lpad(hex(t & 255), 2, '0')), ''))").alias("sketch")
-    small, connected, crowded = _met(reps, 1, every)
-    crowded = common.settle(crowded.join(reps.select("rep", "tokens"), "rep"))
-    if most > every and not crowded.isEmpty():
-        more, deep, _ = _met(crowded, every + 1, most)
-        small, connected = small.unionByName(more), connected + deep
-    sketched = small.join(reps.select("rep", sketch), "rep").select("path", "rep", "sketch")
+    sketched = small.join(reps.select("rep", sketch), "rep").select("path", "root", "sketch")
     compared = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(_compare, "a long, b long")
     for more in connected:
         compared = compared.unionByName(more)
-    return compared.distinct()
+    return compared.where("a <> b").distinct()
+
+
+def _grouped(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``reps`` with the roots of their groups after ``edges`` between the roots they had."""
+    found = components(edges).withColumnRenamed("root", "_further")
+    joined = reps.join(found, F.col("root") == F.col("node"), "left")
+    return common.settle(joined.withColumn("root", F.coalesce("_further", "root")).select(*reps.columns))
+
+
+def _candidates(reps: DataFrame, n_runs: tuple[int, int]) -> DataFrame:
+    """``node, root``: groups of two and more, such that every pair met by a run is in one group.
+
+    Runs come in three parts; after each, later buckets and connections are between groups and no longer between sets.
+    """
+    every, most = n_runs
+    parts = [(1, min(FIRST, every)), (min(FIRST, every) + 1, every), (every + 1, most)]
+    now, crowds = reps.withColumn("root", F.col("rep")), []
+    for first, last in parts:
+        taking = now
+        if first > every:
+            crowded = common.settle(crowds[0].unionByName(crowds[-1]).distinct())
+            taking = now.join(crowded, "rep", "left_semi")
+        if first > last:
+            continue
+        small, connected, large = _met(taking, first, last)
+        crowds.append(large)
+        now = _grouped(now, common.settle(_compared(reps, small, connected)))
+    groups = now.select(F.col("rep").alias("node"), "root")
+    return groups.join(groups.groupBy("root").count().where("count > 1").select("root"), "root")
 
 
 def _shingled(batches):
@@ -311,7 +344,7 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
         grouped.withColumnRenamed("rep", "_rep").join(tokens, is_rep).select("rep", "copies", *same, "tokens")
         .dropDuplicates(["rep"])
     )
-    groups = components(_candidates(reps, runs(target)))
+    groups = _candidates(reps, runs(target))
     found = _verified(named, reps, common.settle(groups))
     linked = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     classes = components(found.select("a", "b")).withColumnRenamed("node", "rep")

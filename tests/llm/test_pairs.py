@@ -169,3 +169,23 @@ def test_anchors_of_long_documents_in_pieces(monkeypatch):
     parts = [np.concatenate(x) for x in zip(*repeats.anchor_rows([(7, data), (8, data[:300])]))]
     key = lambda x: sorted(zip(*(c.tolist() for c in x)))
     assert key(whole) == key(parts)
+
+
+@pytest.mark.parametrize("size", [300, 1_200])
+def test_a_crowd_in_one_group_is_not_split_again(spark, size):
+    """Near copies that earlier runs put into one group leave a run after its first split, however many they are."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(150)]
+    texts = [_varied(rng, words, 0.01) for _ in range(size)]
+    docs = documents(spark, texts).select("doc_id", "text")
+    form = "rep long, n int, mark long, first long, tokens array<long>"
+    reps = docs.mapInArrow(jaccard_join._embed, form.replace("rep", "doc_id")).withColumnRenamed("doc_id", "rep")
+    reps = reps.dropDuplicates(["mark"]).cache()
+    reps = reps.selectExpr("*", "rep AS root")
+    small, connected, crowded = jaccard_join._met(reps, 1, 3)
+    assert crowded.count() > 0
+    grouped = jaccard_join._grouped(reps, jaccard_join._compared(reps, small, connected))
+    assert grouped.groupBy("root").count().selectExpr("max(count)").first()[0] > 0.5 * size
+    one = grouped.join(grouped.groupBy("root").count().where("count > 64"), "root", "left_semi").drop("count")
+    small, connected, crowded = jaccard_join._met(one, 4, 11)
+    assert small.count() == 0 and crowded.count() == 0 and sum(c.count() for c in connected) == 0
