@@ -12,7 +12,8 @@ fewer pairs: every set that was in one takes part in further runs.
 Candidate pairs are kept as connections, not as all pairs. Connected candidates form groups, and inside a group
 every pair is verified on the exact shingle sets, in blocks of ``BLOCK`` documents, so no link found by chance only
 once is lost and no link is counted twice. Documents with equal shingle sets are joined once, as a class with a
-count. A group's work grows with the pairs it holds; its rows and each task's share of it do not.
+count. A group's work grows with the pairs it holds and its rows with its size times its number of blocks; a task holds two
+blocks at once. A bucket whose sets earlier runs put into one candidate group connects nothing more and is split no further.
 
 Result: one row per document, ``doc_id, class_id`` (least doc_id among all documents connected by links),
 ``n_links`` (other documents at or above the threshold), ``n_shingles``.
