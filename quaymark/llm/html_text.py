@@ -7,9 +7,14 @@ article lies in: an ``article`` or ``main`` element where the page has one, othe
 holds them all. Every line of that region counts, short ones too, except those inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role, class or id.
 
-Defined results: a null or empty page, or one without such text, gives an empty string; a tag that is never
-closed ends with its surroundings; an unclosed tail is read as far as it goes; repeated rows give repeated rows;
-an empty table gives no rows; other columns are ignored.
+A class or id marks an element by its last word, layout words apart (``site-header``, ``ad-slot``; not
+``share-prices``), and states (``has-sidebar``) mark nothing. Articles beside the largest one, in the same element, belong
+to the page's text. Left-out elements inside a line (buttons, drawings, films) leave the line around them whole.
+
+Defined results: a null or empty page, or one without such text, gives an empty string; where only class or id words
+other than comments stand against all text of a page, they yield; a tag that is never closed ends with its
+surroundings; an unclosed tail is read as far as it goes; repeated rows give repeated rows; an empty table gives no
+rows; other columns are ignored. Work is linear in the page, however deep it nests.
 """
 
 import re
@@ -27,9 +32,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
-    """aside audio button canvas datalist dialog footer form head iframe map menu nav noscript object script search
+    """aside audio button canvas datalist dialog footer form head iframe label map menu nav noscript object script search
     select style svg template textarea title video""".split()
 )
+#: These may stand inside a line; the line goes on after them.
+WITHIN = NEVER - BLOCKS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(("article", "main"))
 ROLES = frozenset(
@@ -43,7 +50,15 @@ MARKS = frozenset(
 )
 #: Around these, an ``article`` element is a reader's or another page's text.
 OTHERS = frozenset("comment comments commentlist respond disqus related recommended".split())
+#: Behind a mark, these name a place or a form of it; anywhere in a name, states tell what lies elsewhere.
+PLACES = frozenset(
+    """area bar block bottom box button buttons form inner item items left link links list middle outer panel posts
+    right section slot top unit wrap wrapper""".split()
+)
+STATES = frozenset("has hide is no not show with without".split())
 _MARK_CUT = re.compile(r"[^a-z]+")
+#: How firmly an element is left out: not at all, by class or id words, by its tag, role or the comments it holds.
+KEPT, MARKED, FIRM = range(3)
 
 SIGMA = 1.5
 _REACH = 4
@@ -52,94 +67,142 @@ _KERNEL = np.exp(-0.5 * (np.arange(-_REACH, _REACH + 1) / SIGMA) ** 2)
 LINK_SHARE = 0.6
 
 
+def marks(value: str) -> set[str]:
+    """The marks that a class or id attribute carries."""
+    found = set()
+    for name in value.lower().split():
+        words = [w for w in _MARK_CUT.split(name) if w]
+        if not STATES.isdisjoint(words):
+            continue
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        if words and words[-1] in MARKS:
+            found.add(words[-1])
+    return found
+
+
 class _Lines(HTMLParser):
-    """Cuts the events of one page into lines."""
+    """Cuts the events of one page into lines: words, element, how left out, region, tags, share of links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # name, element number, left out, region number
-        self.firm: set[int] = set()  # numbers of elements that even an article inside doesn't escape
+        # name, element number, how left out, region number, whether even an article inside stays out
+        self.open: list[tuple[str, int, int, int, bool]] = []
+        self.places: dict[str, list[int]] = {}  # where each name stands among the open elements
+        self.silent: int | None = None  # where a left-out element inside a line stands
         self.parents = [-1]
-        self.lines: list[tuple[str, int, bool, int, int, float]] = []
+        self.around = [0]  # the element that holds each region
+        self.lines: list[tuple[str, int, int, int, int, float]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.chars = self.regions = self.in_link = 0
+        self.tags = self.linked = self.chars = self.in_link = 0
+
+    def _at(self) -> tuple[str, int, int, int, bool]:
+        return self.open[-1] if self.open else ("", 0, KEPT, 0, False)
+
+    def _push(self, name: str, number: int, out: int, region: int, firm: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append((name, number, out, region, firm))
 
     def _cut(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                _, number, out, region = self.open[-1] if self.open else ("", 0, False, 0)
+                _, number, out, region, _ = self._at()
                 self.lines.append((words, number, out, region, self.tags, self.linked / max(1, self.chars)))
                 self.tags = 0
             self.text, self.linked, self.chars = [], 0, 0
 
-    def _unwanted(self, name: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
-        if name in NEVER or (name == "header" and not region):
-            return True
+    def _unwanted(self, name: str, attrs: list[tuple[str, str | None]], region: int) -> tuple[int, bool]:
+        """How firmly an element is left out, and whether an article inside it is too."""
+        if name in NEVER:
+            return FIRM, True
+        out, firm = (FIRM if name == "header" else KEPT), False
         for key, value in attrs:
             if not value:
-                if key == "hidden":
-                    return True
+                out = FIRM if key == "hidden" else out
             elif key == "role" and value.lower() in ROLES:
-                return True
-            elif key in ("class", "id") and not MARKS.isdisjoint(_MARK_CUT.split(value.lower())) and name != "body":
-                return True
-        return False
+                out = FIRM
+            elif (key == "class" or key == "id" and name not in HEADINGS) and name != "body":
+                found = marks(value)
+                if region:
+                    found.discard("header")  # the article's own
+                if not OTHERS.isdisjoint(found):
+                    return FIRM, True
+                out = max(out, MARKED if found else KEPT)
+        return out, firm
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         if name in VOID:
             self.tags += 1
-            if name == "hr":
-                self._cut()
-            else:
-                self.text.append(" ") if name == "br" else None
+            if self.silent is None:
+                if name == "hr":
+                    self._cut()
+                elif name == "br":
+                    self.text.append(" ")
+            return
+        structural = name in BLOCKS or name in NEVER
+        _, number, out, region, firm = self._at()
+        if self.silent is not None:
+            if structural:
+                self._push(name, number, out, region, firm)
             return
         if name in BLOCKS:
             self._cut()
         self.tags += 1
         if name == "a":
             self.in_link += 1
-        structural = name in BLOCKS or name in NEVER
         if not structural or name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and not attrs:
             return
-        _, number, out, region = self.open[-1] if self.open else ("", 0, False, 0)
-        unwanted = self._unwanted(name, attrs, region)
+        unwanted, holds = self._unwanted(name, attrs, region)
         if name in REGIONS and not unwanted and not region:
-            self.regions += 1
-            region = self.regions
-            out = any(x[1] in self.firm for x in self.open)  # an advert left open doesn't swallow the article
-        elif name == "header" and region:
-            unwanted = True
+            self.around.append(number)
+            region = len(self.around) - 1
+            out = FIRM if firm else KEPT  # an advert left open doesn't swallow the article
         if name in HEADINGS and region and out and self.open[-1][0] == "header" and not unwanted:
-            out = False  # the article's own title
-        self.parents.append(number)
-        if name in NEVER or unwanted and any(k in ("class", "id", "role") and not OTHERS.isdisjoint(
-            _MARK_CUT.split((v or "").lower())) for k, v in attrs):
-            self.firm.add(len(self.parents) - 1)
-        self.open.append((name, len(self.parents) - 1, out or unwanted, region))
+            out = KEPT  # the article's own title
+        if name in WITHIN:
+            self.silent = len(self.open)
+        else:
+            self.parents.append(number)
+            number = len(self.parents) - 1
+        self._push(name, number, max(out, unwanted), region, firm or holds)
 
     def handle_startendtag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
-        if name in VOID:
-            self.handle_starttag(name, attrs)
-        else:
-            self.handle_starttag(name, attrs)
+        self.handle_starttag(name, attrs)
+        if name not in VOID:
             self.handle_endtag(name)
 
     def handle_endtag(self, name: str) -> None:
+        places = self.places.get(name)
+        at = places[-1] if places else -1
+        fence = max((p[-1] for p in (self.places.get(r) for r in REGIONS) if p), default=-1)
+        if at < fence and name not in ("body", "html"):
+            at = -1  # a stray end tag inside an article closes nothing around it
+        if self.silent is not None and at < 0:
+            return
+        if self.silent is not None and at <= self.silent:
+            self._close(self.silent)
+            self.silent = None
+            if name in WITHIN and at == len(self.open):
+                self.tags += 1
+                return
+        if self.silent is not None:
+            self._close(at)
+            return
         if name in BLOCKS:
             self._cut()
         self.tags += 1
         if name == "a":
             self.in_link = max(0, self.in_link - 1)
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                del self.open[k:]
-                break
-            if self.open[k][0] in REGIONS and name not in ("body", "html"):
-                break  # a stray end tag inside an article closes nothing around it
+        if at >= 0:
+            self._close(at)
+
+    def _close(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop()[0]].pop()
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.silent is not None:
             return
         self.text.append(data)
         self.chars += len(data)
@@ -148,6 +211,8 @@ class _Lines(HTMLParser):
 
     def finish(self) -> None:
         self.close()
+        if self.silent is not None:
+            self._close(self.silent)
         self._cut()
 
 
@@ -157,12 +222,12 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, _KERNEL)[_REACH : _REACH + len(ratios)] / weight
 
 
-def _chain(parents: list[int], number: int) -> list[int]:
-    path = []
-    while number > 0:
-        path.append(number)
-        number = parents[number]
-    return [0, *reversed(path)]
+def _last_inside(parents: list[int]) -> list[int]:
+    """The last element inside each one; elements are numbered in page order, so what lies inside is one stretch."""
+    last = list(range(len(parents)))
+    for number in range(len(parents) - 1, 0, -1):
+        last[parents[number]] = max(last[parents[number]], last[number])
+    return last
 
 
 def main_text(html: str | None) -> str:
@@ -178,31 +243,29 @@ def main_text(html: str | None) -> str:
     ratios = np.array([len(line[0]) / max(1, line[4]) for line in lines])
     smooth = smoothed(ratios)
     content = smooth >= min(smooth.std(), smooth.max())
-    wanted = [not line[2] and (line[3] > 0 or line[5] <= LINK_SHARE) for line in lines]
+    for limit in (KEPT, MARKED):
+        allowed = [line[2] <= limit for line in lines]
+        wanted = [ok and (line[3] > 0 or line[5] <= LINK_SHARE) for ok, line in zip(allowed, lines)]
+        if any(wanted):
+            break
+    else:
+        return ""
     votes: dict[int, int] = {}
     for line, dense, keep in zip(lines, content, wanted):
-        if keep:
+        if keep and line[3]:
             votes[line[3]] = votes.get(line[3], 0) + (len(line[0]) if dense else 0)
-    inside = {region: n for region, n in votes.items() if region}
-    if inside:
-        most = max(inside.values())
-        chosen = {region for region, n in inside.items() if n >= most / 2}
+    if votes:
+        most = max(votes, key=votes.get)
+        beside = page.around[most]
+        chosen = {r for r, n in votes.items() if n >= votes[most] / 2 or page.around[r] == beside}
         return "\n\n".join(line[0] for line, keep in zip(lines, wanted) if keep and line[3] in chosen)
-    voters = [line for line, dense, keep in zip(lines, content, wanted) if keep and dense]
-    voters = voters or [line for line, keep in zip(lines, wanted) if keep]
-    if not voters:
-        return ""
-    common = _chain(page.parents, voters[0][1])
-    for line in voters[1:]:
-        other = _chain(page.parents, line[1])
-        same = 0
-        while same < min(len(common), len(other)) and common[same] == other[same]:
-            same += 1
-        common = common[:same]
-    root = common[-1]
-    return "\n\n".join(
-        line[0] for line in lines if not line[2] and root in _chain(page.parents, line[1])
-    )
+    voters = [line[1] for line, dense, keep in zip(lines, content, wanted) if keep and dense]
+    voters = voters or [line[1] for line, keep in zip(lines, wanted) if keep]
+    last = _last_inside(page.parents)
+    root, end = min(voters), max(voters)
+    while last[root] < end:
+        root = page.parents[root]
+    return "\n\n".join(line[0] for line, ok in zip(lines, allowed) if ok and root <= line[1] <= last[root])
 
 
 def _extract(batches):

@@ -1,5 +1,8 @@
 """Nearest neighbours, the two classifiers, page text and the pipeline."""
 
+import html
+import re
+import time
 import zlib
 
 import duckdb
@@ -169,6 +172,18 @@ PAGES = {
     ),
     "<p>x<script>var a='</p><p>no';</script><style>p{}</style><form>f <input></form>": "x",
     "<article><div role='alert'>n</div><div hidden>h</div><p>k</p><div class='cookie-notice'>c</div></article>": "k",
+    "<article><p>A <svg><title>icon</title></svg> B</p><p>C</p></article>": "A B\n\nC",
+    "<p>Text <button>Share</button> more</p>": "Text more",
+    "<p>a <video>x<p>y</p></video>b <textarea>t</textarea>c <object>o</object>d<template><div>q</div></template></p>": "a b c d",
+    "<p>a</p><form>f</form><label>l</label>": "a", "<p>x <button>unclosed</p><p>y</p>": "x",
+    "<article><h2 id='share-prices'>H</h2><div class='notice-of-appeal'>N</div><h3 id='comments'>O</h3></article>": "H\n\nN\n\nO",
+    "<div class='page has-sidebar'><p>One.</p></div>": "One.", "<div class='widget-container'><p>One.</p></div>": "One.",
+    "<div class='no-comments'>One.</div>": "One.", "<div class='layout-with-nav'>One.</div>": "One.",
+    "<div class='widget'><p>All there is.</p></div>": "All there is.", "<div id='comments'>only readers</div>": "",
+    "<article>The first and longer article of two.</article><article>Short.</article>": (
+        "The first and longer article of two.\n\nShort."
+    ),
+    "<article>k<div class='site-header'>h</div><div class='post-comments'>c</div><p class='ad-slot'>a</p></article>": "k\n\nh",
     "<nav>only menu</nav>": "", "": "", "plain text": "plain text", "<!-- c -->": "", "<p>a<p>b</i></div>c": "a\n\nb\n\nc",
 }
 
@@ -188,6 +203,31 @@ def test_pages(spark):
     assert len(on_table) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in on_table)
 
 
+def _plain(page):
+    """The article element by patterns: blocks end at block tags, adverts and scripts go."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1)
+    inner = re.sub(r"<(script|style|aside|nav|form|footer)\b.*?</\1>|<div class=.?ad\b.*?</div>|<!--.*?-->", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:p|div|h1|h2|h3|ul|li|hr|section|blockquote)\b[^>]*>", inner)
+    plain = (" ".join(html.unescape(re.sub(r"<[^>]*>", lambda t: " " if t[0].startswith("<br") else "", b)).split()) for b in blocks)
+    return "\n\n".join(b for b in plain if b)
+
+
+def test_pages_of_a_table_against_patterns(spark):
+    pages = {r["page_id"]: r["html"] for r in common.table(spark, MEDIUM, "pages").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op10_html_text"](spark, MEDIUM).collect()}
+    assert len(got) >= 50 and got == {k: _plain(h) for k, h in pages.items()}
+
+
+@pytest.mark.parametrize("page", ["<div>x", "<button>", "<article>", "</section><section><article><div>", "<div><p>t</p>"])
+def test_deep_nests_take_linear_time(page):
+    took = []
+    for levels in (5_000, 40_000):
+        start = time.process_time()
+        html_text.main_text(page * levels + "end" + "</section>" * levels)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html_text.smoothed(np.full(7, 3.0)), 3.0) and len(html_text.smoothed(np.ones(1))) == 1
 
