@@ -3,17 +3,18 @@
 Each tree gives a vector a long string of ``SYMBOLS`` symbols: a symbol names the closest of 2 * ``DIRECTIONS``
 random directions. A tree is the sorted array of these strings. A query descends to its longest prefix matches by
 binary search and ascends, in all trees at once and one symbol at a time, until the trees together hold enough
-candidates; what the prefixes select is scored exactly. A query also walks the strings that start with its next
-closest directions, so that few trees suffice.
+candidates; what the prefixes select is scored exactly, in double precision on the vectors as given. A query also walks
+the strings that start with its next closest directions, ``PROBES`` of them, so that few trees suffice.
 
 Vectors are lifted by one dimension (``x / max norm`` and what is missing to length 1), so that the largest inner
 product is the closest direction. Equal vectors are one leaf; only the ``k + 1`` smallest ids of a leaf can ever
 be named. On Spark, all strings with one head (their first symbols) lie in one bucket of bounded size: small heads
 share a bucket, large ones are dealt over several and their queries visit all of them. The head's length is the
 longest at which ``CALIBRATION`` sampled queries, held against all vectors in blocks, reach ``RECALL``;
-structureless data thus get short heads and more candidates. Every query ascends to the head at least; it stops below
-only at a level where sampled queries with as many candidates there reach ``RECALL`` too. Queries that find fewer than
-``k`` go on with shorter heads. Head 0 scores all leaves.
+structureless data thus get short heads and more candidates, and where one symbol is still too much, more probes. Every
+query ascends to the head at least; it stops below only at a level where sampled queries with as many candidates there
+reach ``RECALL`` too. Queries that find fewer than ``k`` ascend further, at last to the root and all leaves; no other
+query does, at any size of the table.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or whose length is not
 the table's most common one, take no part; ties go to the smaller id; rows that repeat an id and its vector count
@@ -30,10 +31,11 @@ from pyspark.sql import Window as W
 from quaymark.llm import common
 
 TREES = 20
-SYMBOLS = 5
+SYMBOLS = 8
 DIRECTIONS = 64
 BITS = 7
-PROBES = 4
+#: First symbols a query walks in each tree: the least number that reaches ``RECALL``; the last one is all of them.
+PROBES = (4, 5, 6, 8, 12, 16, 32, 2 * DIRECTIONS)
 #: Queries may stop below the head where the trees hold so many candidates each, on average.
 EFFORT = 400
 #: Strings of a bucket, on average and for the parts of a large head.
@@ -71,17 +73,17 @@ def strings(points: np.ndarray, turns: np.ndarray, probes: int = 1) -> np.ndarra
     return keys
 
 
-def _unpacked(column: pd.Series) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column), np.float32)
-    return flat.reshape(len(column), -1)
+def _unpacked(column: pd.Series, kind: type) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column), kind)
+    return flat.reshape(len(column), -1).astype(np.float64)
 
 
 def _matrix(array: pa.Array) -> np.ndarray:
     return np.asarray(array.flatten(), np.float64).reshape(len(array), -1)
 
 
-def _hashed(turns: np.ndarray, longest: float, probes: int, query: bool):
-    """Rows of ``id, vector`` -> ``id, tree, key, packed``, a row for each tree and probe."""
+def _hashed(turns: np.ndarray, longest: float, probes: int, query: bool, kind: type):
+    """Rows of ``id, vector`` -> ``id, tree, key, packed``, a row for each tree and probe; vectors packed as ``kind``."""
 
     def run(batches):
         for whole in batches:
@@ -95,7 +97,7 @@ def _hashed(turns: np.ndarray, longest: float, probes: int, query: bool):
                 else:
                     points = lifted(vectors, longest)
                 points = points.astype(np.float32)
-                packed = pa.array([v.tobytes() for v in vectors.astype(np.float32)], pa.binary())
+                packed = pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
                 for tree in range(len(turns)):
                     keys = strings(points, turns[tree], probes)
                     for p in range(probes):
@@ -135,21 +137,21 @@ def _count(head: int):
     return run
 
 
-def _score(keep: int):
+def _score(keep: int, kind: type):
     def run(leaves: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         ids, others, scores = [], [], []
         if len(leaves) and len(queries):
             order = np.argsort(_joined(leaves), kind="stable")
             forest = _joined(leaves)[order]
             names = leaves["id"].to_numpy(np.int64)[order]
-            points = _unpacked(leaves["packed"]).astype(np.float64)[order]
+            points = _unpacked(leaves["packed"], kind)[order]
             wanted, level = _joined(queries), queries["level"].to_numpy(np.int64)
             lo, hi = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
             for one in np.unique(level):
                 of = level == one
                 lo[of], hi[of] = _bounds(forest, wanted[of], int(one))
             asking = queries["id"].to_numpy(np.int64)
-            places = _unpacked(queries["packed"]).astype(np.float64)
+            places = _unpacked(queries["packed"], kind)
             spans, which = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
             for s, (a, b) in enumerate(spans):
                 if a == b:
@@ -183,8 +185,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size(v) == (sizes["d"] if sizes else 0))
 
 
-def _reached(leaves: DataFrame, sample: list, turns: np.ndarray, longest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each true neighbour of the sampled queries: whose it is, and the most symbols it shares with a probe."""
+def _reached(leaves: DataFrame, sample: list, turns: np.ndarray, longest: float, k: int, probes: int) -> np.ndarray:
+    """For each number of probes and true neighbour of the sampled queries: the most symbols it shares with a probe."""
     points = np.array([r["vector"] for r in sample])
 
     def nearest(batches):
@@ -206,48 +208,53 @@ def _reached(leaves: DataFrame, sample: list, turns: np.ndarray, longest: float,
     items = lifted(np.array([r["vector"] for r in true]), longest)
     q = np.array([r["q"] for r in true])
     asking = np.pad(points / np.linalg.norm(points, axis=1)[:, None], ((0, 0), (0, 1))).astype(np.float32)
-    level = np.zeros(len(true), np.int64)
+    level = np.zeros((probes, len(true)), np.int64)
     for turn in turns:
-        own, probes = strings(items, turn)[:, 0], strings(asking, turn, PROBES)[q]
-        for p in range(PROBES):
-            differ = own ^ probes[:, p]
+        own, walked = strings(items, turn)[:, 0], strings(asking, turn, probes)[q]
+        for p in range(probes):
+            differ = own ^ walked[:, p]
             bits = np.where(differ == 0, 0, np.floor(np.log2(np.maximum(differ, 1))) + 1)
-            level = np.maximum(level, (SYMBOLS * BITS - bits).astype(np.int64) // BITS)
-    return q, level
+            level[p] = np.maximum(level[p], (SYMBOLS * BITS - bits).astype(np.int64) // BITS)
+    return np.maximum.accumulate(level, axis=0)
 
 
 def _sampled(asked: DataFrame) -> list:
     return asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()
 
 
-def _calibrated(leaves: DataFrame, asked: DataFrame, turns: np.ndarray, longest: float, n: int, k: int) -> int:
-    """The longest head at which sampled queries find enough of their true neighbours."""
-    most = 0
-    while most < SYMBOLS - 1 and n > BUCKET * (2 * DIRECTIONS) ** most:
-        most += 1
-    sample = _sampled(asked) if most else []
+def _calibrated(leaves: DataFrame, asked: DataFrame, turns: np.ndarray, longest: float, n: int, k: int) -> tuple[int, int]:
+    """The longest head, then the fewest probes, at which sampled queries find enough of their true neighbours."""
+    head = 1
+    while head < SYMBOLS - 1 and n > BUCKET * (2 * DIRECTIONS) ** head:
+        head += 1
+    sample = _sampled(asked)
     if not sample:
-        return 0
-    _, level = _reached(leaves, sample, turns, longest, k)
-    while most and (level >= most).mean() < RECALL:
-        most -= 1
-    return most
+        return head, PROBES[0]
+    level = _reached(leaves, sample, turns, longest, k, PROBES[-1])
+    if not level.shape[1]:
+        return head, PROBES[0]
+    while head > 1 and (level[PROBES[0] - 1] >= head).mean() < RECALL:
+        head -= 1
+    return head, next(p for p in PROBES if (level[p - 1] >= head).mean() >= RECALL)
 
 
-def _deeper(leaves: DataFrame, asked: DataFrame, counts: DataFrame, turns: np.ndarray, longest: float, head: int, k: int) -> list[int]:
+def _deeper(
+    leaves: DataFrame, asked: DataFrame, counts: DataFrame, turns: np.ndarray, longest: float, head: int, k: int, probes: int
+) -> list[int]:
     """The levels below the head at which sampled queries with enough candidates there find enough of their neighbours."""
     deeper = []
     for one in range(head + 1, SYMBOLS + 1):
         crowded = counts.where(F.col(_LEVELS[one]) >= len(turns) * EFFORT).select("id")
         sample = _sampled(asked.join(crowded, "id", "left_semi"))
-        if not sample or (_reached(leaves, sample, turns, longest, k)[1] >= one).mean() < RECALL:
+        if not sample or (_reached(leaves, sample, turns, longest, k, probes)[-1] >= one).mean() < RECALL:
             break
         deeper.append(one)
     return deeper
 
 
 def _searched(
-    leaves: DataFrame, asked: DataFrame, hashed: DataFrame, probing: DataFrame, turns: np.ndarray, longest: float, n: int, head: int, k: int
+    leaves: DataFrame, asked: DataFrame, hashed: DataFrame, probing: DataFrame, turns: np.ndarray, longest: float, n: int,
+    head: int, k: int, probes: int, kind: type,
 ) -> DataFrame:
     """``id, other, score``: the best leaves that share the head, or a longer prefix, with a probe of the query."""
     trees = len(turns)
@@ -280,13 +287,13 @@ def _searched(
         )
         counts = common.settle(counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in _LEVELS]))
         level = F.lit(head)
-        for one in _deeper(leaves, asked, counts, turns, longest, head, k):  # the last that holds is the deepest
+        for one in _deeper(leaves, asked, counts, turns, longest, head, k, probes):  # the last that holds is the deepest
             level = F.when(F.col(_LEVELS[one]) >= trees * EFFORT, one).otherwise(level)
         asking = visits.join(counts.select("id", level.alias("level")), "id")
     found = (
         stored.select(*lean, "packed").groupBy("bucket")
         .cogroup(asking.select(*lean, "packed", "level").groupBy("bucket"))
-        .applyInPandas(_score(k + 1), "id long, other long, score double")
+        .applyInPandas(_score(k + 1, kind), "id long, other long, score double")
     )
     distinct = found.groupBy("id", "other").agg(F.max("score").alias("score"))
     near = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
@@ -311,12 +318,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
     ).first()
     n, longest = shape["n"], float(shape["square"] or 1.0) ** 0.5
     turns = rotations(shape["d"] or 1, trees)
-    head = _calibrated(leaves, asked, turns, longest, n, k) if n else 0
+    head, probes = _calibrated(leaves, asked, turns, longest, n, k) if n else (1, PROBES[0])
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
 
     form = "id long, tree int, key long, packed binary"
-    hashed = common.settle(leaves.mapInArrow(_hashed(turns, longest, 1, False), form))
-    probing = common.settle(asked.mapInArrow(_hashed(turns, longest, PROBES, True), form))
-    best = _searched(leaves, asked, hashed, probing, turns, longest, n, head, k)
+    hashed = common.settle(leaves.mapInArrow(_hashed(turns, longest, 1, False, kind), form))
+    probing = common.settle(asked.mapInArrow(_hashed(turns, longest, probes, True, kind), form))
+    best = _searched(leaves, asked, hashed, probing, turns, longest, n, head, k, probes, kind)
     held = members.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("held"))
     others = F.sum("held") - F.max((F.col("other") == F.col("id")).cast("int"))
     while head:
@@ -326,7 +334,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
             break
         head -= 1
         again = probing.join(short.select("id"), "id", "left_semi")
-        more = _searched(leaves, short, hashed, again, turns, longest, n, head, k)
+        more = _searched(leaves, short, hashed, again, turns, longest, n, head, k, probes, kind)
         best = common.settle(best.join(more.select("id").distinct(), "id", "left_anti").unionByName(more))
     named = best.join(members.select(F.col("id").alias("other"), "vec_id"), "other").select("id", "vec_id", "score")
     answers = queries.join(named, "id").where("query_id <> vec_id")
