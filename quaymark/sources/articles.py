@@ -62,6 +62,11 @@ def recent_months(articles: DataFrame, today: dt.date) -> DataFrame:
     return month_range(articles, previous.strftime("%Y-%m"), today.strftime("%Y-%m"))
 
 
+def of_months(store: DataFrame, months: DataFrame) -> DataFrame:
+    """Articles of the months listed in ``months`` (``year, month``); other partitions are pruned while the query runs."""
+    return store.join(months.select("year", "month").distinct(), ["year", "month"], "left_semi")
+
+
 def months_to_score(articles: DataFrame, scored: DataFrame | None, current: dt.date) -> DataFrame:
     """Articles of months not scored yet, plus the month still open."""
     if scored is None:

@@ -85,6 +85,17 @@ def guard_outage(current: DataFrame, incoming: DataFrame, key: str = "ticker") -
     return tagged.join(verdicts, key).where(F.col("_fresh") != F.col("_keep_cached")).drop("_fresh", "_keep_cached")
 
 
+def unrefused(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The instruments of ``incoming`` that did not shrink below half of a cached table of > 20 rows."""
+    sizes = current.groupBy("ticker").agg(F.count(F.lit(1)).alias("_cached_n"))
+    fresh = incoming.groupBy("ticker").agg(F.count(F.lit(1)).alias("_fresh_n"))
+    refused = sizes.join(fresh, "ticker").where(
+        (F.col("_cached_n") > config.GUARD_MIN_ROWS)
+        & (F.col("_fresh_n") < F.col("_cached_n") * config.GUARD_RATIO)
+    )
+    return incoming.join(refused, "ticker", "left_anti")
+
+
 def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     """Write ``incoming`` over the store at ``path``, partitioned by ticker, behind the outage guard."""
     try:
@@ -94,13 +105,7 @@ def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame) -> None:
             raise
         accepted = incoming
     else:
-        sizes = current.groupBy("ticker").agg(F.count(F.lit(1)).alias("_cached_n"))
-        fresh = incoming.groupBy("ticker").agg(F.count(F.lit(1)).alias("_fresh_n"))
-        refused = sizes.join(fresh, "ticker").where(
-            (F.col("_cached_n") > config.GUARD_MIN_ROWS)
-            & (F.col("_fresh_n") < F.col("_cached_n") * config.GUARD_RATIO)
-        )
-        accepted = incoming.join(refused, "ticker", "left_anti")
+        accepted = unrefused(current, incoming)
     (
         accepted.hint("rebalance", "ticker")
         .write.mode("overwrite")
