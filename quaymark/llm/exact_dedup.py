@@ -182,6 +182,11 @@ def exact_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their columns; rows without a doc_id can't be told apart and all stay."""
+    """One row of equal texts, with its columns: the least doc_id, null last.
+
+    Rows that repeat a doc_id are judged one by one: one with a text of its own stays, copies go, without an id too.
+    """
+    if not common.told_apart(docs):
+        return common.one_of_each(docs, lambda rows: exact_groups(rows).select("doc_id", F.col("text_sha256").alias("class")))
     dropped = common.settle(exact_groups(docs).where("not kept").select("doc_id"))
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

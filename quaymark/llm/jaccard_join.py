@@ -362,6 +362,11 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows that stay when one document of each class does, with their columns."""
+    """The rows that stay when one document of each class does, with their columns: the least doc_id, null last.
+
+    Rows that repeat a doc_id or have none are judged one by one.
+    """
+    if not common.told_apart(docs):
+        return common.one_of_each(docs, lambda rows: join(rows).select("doc_id", F.col("class_id").alias("class")))
     dropped = common.settle(join(docs).where("doc_id <> class_id").select("doc_id"))
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

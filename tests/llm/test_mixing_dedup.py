@@ -100,6 +100,18 @@ def test_exact_groups(spark):
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted(min(ids) for ids in _groups(enumerate(texts)).values())
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    rows = [(9, "a  b", 1), (9, "of its own", 2), (3, "a b", 3), (None, "a b", 4), (None, "alone", 5), (None, "alone", 6), (9, "a b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    stay = exact_dedup.deduplicated(docs)
+    assert stay.columns == docs.columns
+    got = {r["number"] for r in stay.collect()}
+    assert got in ({3, 2, 5}, {3, 2, 6})
+    stay = exact_dedup.deduplicated(odd_rows(spark))
+    assert sorted(r["doc_id"] for r in stay.collect()) == [1, 3, 4, 6, 7, 8]
+    assert exact_dedup.deduplicated(no_rows(spark)).count() == 0
+
+
 def test_exact_groups_of_odd_rows(spark):
     rows = exact_dedup.exact_groups(odd_rows(spark)).collect()
     assert len(rows) == 10

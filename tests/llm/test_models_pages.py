@@ -292,3 +292,14 @@ def test_lines_of_links_stay_inside_the_chosen_root():
     page = f"<html><body><div><a href='/'>front page link</a></div><div><div>{prose}{cited}{prose}</div></div></body></html>"
     text = html_text.main_text(page)
     assert "a reference whose whole line is a link" in text and "front page link" not in text
+
+
+def test_pipeline_of_odd_and_empty_rows(spark):
+    """Every stage takes nulls, repeats, clashing columns and empty tables; each document of its own comes out."""
+    for start, least in ((odd_rows(spark), {4, 6}), (no_rows(spark), set())):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.settle(stage(spark, docs, SMALL))
+            assert docs.columns == start.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+        assert least <= {r["doc_id"] for r in out} and all(r["decodes"] for r in out)
