@@ -1,13 +1,15 @@
 """Similarity self-join of documents on word shingles: Jaccard at least ``SIMILARITY``, by chosen paths.
 
 Sets of five-word shingles are embedded as ``TOKENS`` tokens (coordinate, least hash under it), so that two sets
-share tokens in proportion to their similarity. A run splits all sets on a few sampled tokens: at every node the
+share tokens in proportion to their similarity. A set stays in the search only if enough of its tokens occur in other
+sets for a pair to pass. A run splits all sets on a few sampled tokens: at every node the
 same coordinates are drawn for all its sets, each with probability ``1 / (SIMILARITY * TOKENS)``, and sets that
-share the token go on together. Small buckets are compared by brute force on the embedded sets; large ones are
+share the token go on together. Earlier runs leave groups; a bucket is small if at most ``SMALL`` of its sets are outside
+the group that has most there, and then those are compared with all of it by brute force on the embedded sets. Others are
 split further, up to ``DEPTH`` times, and what then is still together stays one candidate group. Runs repeat until
 a pair at the threshold is met with probability ``TARGET``, averaged over the tokens such a pair shares (all runs use
-the same embedding). Two sets that share a large bucket after the first split may need all ``DEPTH``, where a run keeps
-fewer pairs: every set that was in one takes part in further runs.
+the same embedding). The ``FIRST`` runs only make groups. Two sets that share a large bucket after the first split of a
+later run may need all ``DEPTH``, where a run keeps fewer pairs: every set that was in one takes part in further runs.
 
 Candidate pairs are kept as connections, not as all pairs. Connected candidates form groups, and inside a group
 every pair is verified on the exact shingle sets, in blocks of ``BLOCK`` documents, so no link found by chance only
@@ -38,9 +40,11 @@ SIMILARITY = 0.8
 TOKENS = 40
 TARGET = 0.999
 DEPTH = 6
-SMALL = 64
+SMALL = 256
 #: Runs after which sets are grouped for the first time.
-FIRST = 3
+FIRST = 2
+#: Sets of a bucket's main group that a task holds at once.
+PART = 4096
 #: Brute force on embedded sets lets pairs pass from this share of equal tokens on: four deviations below.
 PASSES = 0.54
 BLOCK = 256
@@ -69,15 +73,16 @@ def missed(n_runs: int, depth: int) -> float:
 def runs(target: float = TARGET) -> tuple[int, int]:
     """Runs over all sets, and how many there are in all for sets from large buckets.
 
-    A pair is missed if its tokens don't pass, if no run over all sets keeps it through the first split (at most a
+    A pair is missed if its tokens don't pass, if no run over all sets after the ``FIRST`` ones keeps it through the first split (at most a
     twentieth of the misses allowed), or if every run loses it on the way to ``DEPTH``.
     """
     apart = sum(chance for m, chance in _shared() if m < PASSES * TOKENS)
     if 1 - target <= apart:
         raise ValueError(f"a target above {1 - apart} needs more tokens")
     spare = 1 - target - apart
-    every = next(n for n in range(1, 10_000) if missed(n, 1) - apart <= spare / 20)
-    crowded = next(n for n in range(every, 10_000) if missed(n, DEPTH) - apart + missed(every, 1) - apart <= spare)
+    second = next(n for n in range(1, 10_000) if missed(n, 1) - apart <= spare / 20)
+    every = FIRST + second
+    crowded = next(n for n in range(every, 10_000) if missed(n, DEPTH) - apart + missed(second, 1) - apart <= spare)
     return every, crowded
 
 
@@ -114,10 +119,10 @@ def _chosen(path, seed: int):
 
 
 def _split(rows: DataFrame, seed: int) -> DataFrame:
-    """``path, rep, root, tokens`` -> the children of every row's node."""
+    """``path, rep, root, sketch, tokens`` -> the children of every row's node."""
     step = F.explode(_chosen(F.col("path"), seed)).alias("i")
     child = F.xxhash64("path", "i", F.element_at("tokens", F.col("i") + 1))
-    return rows.select("path", "rep", "root", "tokens", step).select(child.alias("path"), "rep", "root")
+    return rows.select("path", "rep", "root", "sketch", "tokens", step).select(child.alias("path"), "rep", "root", "sketch")
 
 
 def _connected(near: np.ndarray) -> np.ndarray:
@@ -133,25 +138,32 @@ def _connected(near: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches):
-    """Rows sorted by path: in every small bucket, connections between sets that pass on their tokens."""
+    """Rows sorted by path and part: connections between the groups that have sets there which pass on their tokens.
+
+    The sets of the bucket's main group are one node: only sets of other groups are held against all.
+    """
     held: list = []
 
-    def buckets(path, rep, sketch):
-        cut = np.flatnonzero(np.diff(path)) + 1
-        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(path)]])):
-            if b - a < 2:
+    def parts(key, root, main, sketch):
+        cut = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)) + 1
+        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(root)]])):
+            rest, whole = np.flatnonzero(~main[a:b]), sketch[a:b]
+            if not len(rest) or b - a < 2:
                 continue
-            order = np.argsort(rep[a:b], kind="stable")
-            ids, own = rep[a:b][order], sketch[a:b][order]
-            same = np.zeros((b - a, b - a), np.int16)
+            same = np.zeros((len(rest), b - a), np.int16)
             for c in range(TOKENS):
-                same += own[:, c][:, None] == own[:, c][None, :]
-            label = _connected(same >= PASSES * TOKENS)
-            far = label != np.arange(b - a)
+                same += whole[rest, c][:, None] == whole[:, c][None, :]
+            passes = same >= PASSES * TOKENS
+            near = np.zeros((len(rest) + 1, len(rest) + 1), bool)
+            near[1:, 1:] = passes[:, rest]
+            near[0, 1:] = near[1:, 0] = passes[:, main[a:b]].any(1)
+            first = root[a:b][main[a:b]][:1] if main[a:b].any() else root[a:b][rest[:1]]
+            ids, label = np.concatenate([first, root[a:b][rest]]), _connected(near)
+            far = ids != ids[label]
             yield ids[far], ids[label[far]]
 
-    def flush(path, rep, sketch):
-        found = list(buckets(path, rep, sketch))
+    def flush(*columns):
+        found = list(parts(columns[:2], *columns[2:]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -159,13 +171,14 @@ def _compare(batches):
     for batch in batches:
         if not len(batch):
             continue
-        path, rep = (batch.column(k).to_numpy() for k in (0, 1))
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, TOKENS)
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, TOKENS))
         if held:
-            path, rep, sketch = (np.concatenate([h, x]) for h, x in zip(held, (path, rep, sketch)))
-        done = np.searchsorted(path, path[-1])
-        held = [path[done:], rep[done:], sketch[done:]]
-        yield flush(path[:done], rep[:done], sketch[:done])
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+        path, part = rows[:2]
+        done = int(np.flatnonzero((path != path[-1]) | (part != part[-1]))[-1]) + 1 if (path[0], part[0]) != (path[-1], part[-1]) else 0
+        held = [x[done:] for x in rows]
+        yield flush(*(x[:done] for x in rows))
     if held:
         yield flush(*held)
 
@@ -173,44 +186,51 @@ def _compare(batches):
 def _met(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """The runs from ``first`` to ``last``: small buckets, connections of large ones, sets in large ones after a split.
 
-    ``reps`` carry the ``root`` of the group that earlier runs put them in. A bucket whose sets are all in one group
-    can connect nothing more, so it ends there: a crowd of near copies goes through a few runs and not through all.
+    ``reps`` carry the ``root`` of the group that earlier runs put them in. A bucket's main group is the one with most
+    sets in it; the bucket is small if at most ``SMALL`` sets are of other groups, and ends there if none is. So a crowd
+    of near copies goes through a few runs and not through all.
     """
-    roots = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("path")
-    level = reps.select(roots, "rep", "root", "tokens")
-    level = level.select(F.col("path").cast("long").alias("path"), "rep", "root", "tokens")
+    roots = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("path")
+    level = reps.select(roots, "rep", "root", "sketch", "tokens")
     leaves, connected = [], []
     for depth in range(1, DEPTH + 1):
         rows = _split(level, depth)
         if depth > 1:  # a node that splits on nothing ends here
             rows = rows.distinct()
         rows = common.settle(rows)
-        sizes = rows.groupBy("path").agg(
-            F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("_most")
-        )
-        sizes = sizes.where("least <> _most").drop("_most")
+        held = rows.groupBy("path", "root").agg(F.count("*").alias("n")).groupBy("path")
+        sizes = held.agg(F.count("*").alias("_groups"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+        sizes = sizes.where("_groups > 1").select(
+            "path", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), (F.col("size") - F.col("most.n")).alias("n_rest")
+        )
         met = common.settle(rows.join(common.settle(sizes), "path"))
-        leaves.append(met.where(F.col("size") <= SMALL).select("path", "rep", "root"))
-        large = met.where(F.col("size") > SMALL)
+        leaves.append(met.where(F.col("n_rest") <= SMALL).select("path", "rep", "root", "sketch", "main", "n_main"))
+        large = met.where(F.col("n_rest") > SMALL)
         if depth == 1:
             crowded = large.select("rep").distinct()
         if depth == DEPTH:
-            connected.append(large.select(F.col("root").alias("a"), F.col("least").alias("b")))
+            connected.append(large.select(F.col("root").alias("a"), F.col("main").alias("b")))
         elif large.isEmpty():
             break
         else:
-            level = large.select("path", "rep").join(reps.select("rep", "root", "tokens"), "rep")
+            level = large.select("path", "rep", "root", "sketch").join(reps.select("rep", "tokens"), "rep")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
     return small, connected, crowded
 
 
-def _compared(reps: DataFrame, small: DataFrame, connected: list[DataFrame]) -> DataFrame:
-    """``a, b``: connections between groups, by sets that pass in small buckets or are still together in large ones."""
-    sketch = F.expr("unhex(array_join(transform(tokens, t -> lpad(hex(t & 255), 2, '0')), ''))").alias("sketch")
-    sketched = small.join(reps.select("rep", sketch), "rep").select("path", "root", "sketch")
-    compared = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(_compare, "a long, b long")
+def _compared(small: DataFrame, connected: list[DataFrame]) -> DataFrame:
+    """``a, b``: connections between groups, by sets that pass in small buckets or are still together in large ones.
+
+    A large main group is dealt to parts of ``PART`` sets; the few sets of other groups go to every part.
+    """
+    parts, is_main = F.ceil(F.col("n_main") / PART).cast("int"), F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    part = F.explode(F.when(is_main, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part")
+    dealt = small.select("path", part, "root", is_main.alias("is_main"), "sketch")
+    dealt = dealt.repartition("path", "part").sortWithinPartitions("path", "part")
+    compared = dealt.mapInArrow(_compare, "a long, b long")
     for more in connected:
         compared = compared.unionByName(more)
     return compared.where("a <> b").distinct()
@@ -223,24 +243,35 @@ def _grouped(reps: DataFrame, edges: DataFrame) -> DataFrame:
     return common.settle(joined.withColumn("root", F.coalesce("_further", "root")).select(*reps.columns))
 
 
+def _sketch():
+    """The last byte of every token."""
+    return F.expr("unhex(array_join(transform(tokens, t -> lpad(hex(t & 255), 2, '0')), ''))")
+
+
+def _in_company(reps: DataFrame) -> DataFrame:
+    """The sets that hold enough tokens which other sets hold too; without them no pair with a set passes."""
+    named = F.explode(F.expr("transform(tokens, (t, i) -> xxhash64(i, t))")).alias("token")
+    held = common.settle(reps.select("rep", named))
+    shared = held.groupBy("token").count().where("count > 1").select("token")
+    enough = held.join(shared, "token").groupBy("rep").count().where(F.col("count") >= PASSES * TOKENS)
+    return common.settle(reps.join(enough.select("rep"), "rep", "left_semi").withColumn("sketch", _sketch()))
+
+
 def _candidates(reps: DataFrame, n_runs: tuple[int, int]) -> DataFrame:
     """``node, root``: groups of two and more, such that every pair met by a run is in one group.
 
     Runs come in three parts; after each, later buckets and connections are between groups and no longer between sets.
     """
     every, most = n_runs
-    parts = [(1, min(FIRST, every)), (min(FIRST, every) + 1, every), (every + 1, most)]
-    now, crowds = reps.withColumn("root", F.col("rep")), []
-    for first, last in parts:
+    now = reps.withColumn("root", F.col("rep"))
+    for first, last in [(1, FIRST), (FIRST + 1, every), (every + 1, most)]:
         taking = now
         if first > every:
-            crowded = common.settle(crowds[0].unionByName(crowds[-1]).distinct())
-            taking = now.join(crowded, "rep", "left_semi")
-        if first > last:
-            continue
-        small, connected, large = _met(taking, first, last)
-        crowds.append(large)
-        now = _grouped(now, common.settle(_compared(reps, small, connected)))
+            taking = common.settle(now.join(crowded, "rep", "left_semi"))
+            if taking.isEmpty():
+                break
+        small, connected, crowded = _met(taking, first, last)
+        now = _grouped(now, common.settle(_compared(small, connected)))
     groups = now.select(F.col("rep").alias("node"), "root")
     return groups.join(groups.groupBy("root").count().where("count > 1").select("root"), "root")
 
@@ -345,7 +376,7 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
         grouped.withColumnRenamed("rep", "_rep").join(tokens, is_rep).select("rep", "copies", *same, "tokens")
         .dropDuplicates(["rep"])
     )
-    groups = _candidates(reps, runs(target))
+    groups = _candidates(_in_company(reps), runs(target))
     found = _verified(named, reps, common.settle(groups))
     linked = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     classes = components(found.select("a", "b")).withColumnRenamed("node", "rep")
