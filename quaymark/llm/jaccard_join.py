@@ -41,8 +41,8 @@ TOKENS = 40
 TARGET = 0.999
 DEPTH = 6
 SMALL = 256
-#: Runs after which sets are grouped for the first time.
-FIRST = 2
+#: Runs that only make groups, before those that the target is computed for.
+FIRST = 3
 #: Sets of a bucket's main group that a task holds at once.
 PART = 4096
 #: Brute force on embedded sets lets pairs pass from this share of equal tokens on: four deviations below.
