@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -52,6 +53,40 @@ def unpack(products: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
+def packed(mean: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`unpack`."""
+    return np.concatenate([np.append(mean[j], square[j, : j + 1]) for j in range(len(mean))])
+
+
+def working_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_g, total weight, products) of a Newton step's rows, once for every batch and group in it.
+
+    Rows have _g, _z, _y, _sw and their group's intercept and coefficients. The variables are ``_z`` and the working
+    residual, the weights ``_sw`` times the curvature.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, y, weight, bias = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_g", "_y", "_sw", "intercept"))
+        z, coef = (
+            batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("_z", "coefficients")
+        )
+        with np.errstate(over="ignore"):
+            p = np.clip(1.0 / (1.0 + np.exp(-(bias + (z * coef).sum(1)))), 1e-12, 1 - 1e-12)
+        bend = np.maximum(p * (1 - p), LEAST_CURVATURE)
+        x, weight = np.column_stack([z, (y - p) / bend]), weight * bend
+        order = np.argsort(group, kind="stable")
+        found = []
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            own, total = weight[rows, None] * x[rows], weight[rows].sum()
+            found.append((group[rows[0]], total, packed(own.sum(0) / total, own.T @ x[rows] / total)))
+        at, totals, products = zip(*found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int64()), pa.array(totals, pa.float64()), pa.array(products, pa.list_(pa.float64()))],
+            names=["_g", "total", "products"],
+        )
+
+
 def _schema(frame: DataFrame, keys: tuple[str, ...], extra: str) -> str:
     kinds = dict(frame.dtypes)
     return ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [extra])
@@ -145,23 +180,18 @@ def fit_logistic(
     the gradient as it is. ``converged`` says whether the last step was below the tolerance.
     """
     size = len(columns)
-    scaling = standardisation(rows, columns, *keys)
+    groups = settle(standardisation(rows, columns, *keys).withColumn("_g", F.monotonically_increasing_id()))
     base = rows.select(
         *keys,
         features_array(columns).alias("_raw"),
         F.col(label).cast("double").alias("_y"),
-        (F.col(weight) if weight else F.lit(1.0)).alias("_sw"),
-    ).join(scaling, list(keys))
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_sw"),
+    ).join(groups, list(keys))
     centred = F.zip_with("_raw", "centre", lambda x, m: x - m)
-    base = base.withColumn("_z", F.zip_with(centred, F.col("scale"), lambda x, s: x / s)).select(*keys, "_z", "_y", "_sw")
-    base = settle(base)
+    base = settle(base.select("_g", F.zip_with(centred, F.col("scale"), lambda x, s: x / s).alias("_z"), "_y", "_sw"))
 
     zero = F.array(*[F.lit(0.0)] * size)
-    current = settle(
-        base.select(*keys).distinct().select(
-            *keys, F.lit(0.0).alias("intercept"), zero.alias("coefficients"), F.lit(1.0).alias("moved")
-        )
-    )
+    current = groups.select("_g", F.lit(0.0).alias("intercept"), zero.alias("coefficients"), F.lit(1.0).alias("moved"))
 
     def newton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,28 +208,24 @@ def fit_logistic(
                 gradient = np.concatenate([[total * mean[-1]], total * square[:-1, -1] - coef / strength])
                 move = np.linalg.solve(hessian, gradient)
                 found.append((bias + move[0], (coef + move[1:]).tolist(), float(np.abs(move).max())))
-            out = batch[list(keys)].copy()
+            out = batch[["_g"]].copy()
             out[["intercept", "coefficients", "moved"]] = pd.DataFrame(found, index=batch.index, columns=["i", "c", "m"])
             yield out
 
-    shape = _schema(current, keys, "intercept double, coefficients array<double>, moved double")
+    shape = "_g long, intercept double, coefficients array<double>, moved double"
     for _ in range(steps):
-        p = probability(linear_value(F.col("_z")))
-        at = base.join(current, list(keys)).withColumn("_p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
-        bend = F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(LEAST_CURVATURE))
-        at = at.select(
-            *keys,
-            F.concat("_z", F.array((F.col("_y") - F.col("_p")) / bend)).alias("_x"),
-            (F.col("_sw") * bend).alias("_bw"),
+        parts = base.join(current, "_g").mapInArrow(working_moments, "_g long, total double, products array<double>")
+        sums = parts.groupBy("_g").agg(
+            F.sum("total").alias("total"),
+            vector_to_array(Summarizer.mean(array_to_vector(F.col("products")), F.col("total"))).alias("products"),
         )
-        sums = moments(at, "_x", "_bw", *keys).join(current.drop("moved"), list(keys))
-        current = settle(sums.mapInPandas(newton, shape))
+        current = settle(sums.join(current.drop("moved"), "_g").mapInPandas(newton, shape))
         if (current.agg(F.max("moved")).first()[0] or 0.0) < STEP_TOLERANCE:
             break
 
     raw = F.zip_with("coefficients", "scale", lambda c, s: c / s)
     shift = F.aggregate(F.zip_with(raw, F.col("centre"), lambda c, m: c * m), F.lit(0.0), lambda a, b: a + b)
-    return current.join(scaling, list(keys)).select(
+    return current.join(groups, "_g").select(
         *keys,
         (F.col("intercept") - shift).alias("intercept"),
         raw.alias("coefficients"),

@@ -28,16 +28,24 @@ def binned(values: np.ndarray) -> np.ndarray:
 
 
 def tree_gains(codes: np.ndarray, target: np.ndarray, rng: np.random.Generator, tried: int) -> np.ndarray:
-    """One tree on a bootstrap sample: the share of all impurity decrease that each column brought."""
+    """One tree on a bootstrap sample: the share of all impurity decrease that each column brought.
+
+    Where a split tries some columns only, the cells of the others are not counted.
+    """
     n, width = codes.shape
     weight = np.bincount(rng.integers(0, n, n), minlength=n).astype(float)
     rows = np.flatnonzero(weight)
     codes, weight, target = codes[rows], weight[rows], target[rows]
     node, nodes, gains = np.zeros(len(rows), np.int64), 1, np.zeros(width)
     for _ in range(DEPTH):
-        cell = ((node[:, None] * width + np.arange(width)) * BINS + codes).ravel()
+        columns, own = np.broadcast_to(np.arange(width), (nodes, width)), codes
+        if tried < width:
+            drawn = rng.random((nodes, width)).argsort(1).argsort(1) < tried
+            columns = drawn.nonzero()[1].reshape(nodes, tried)
+            own = np.take_along_axis(codes, columns[node], 1)
+        cell = ((node[:, None] * tried + np.arange(tried)) * BINS + own).ravel()
         counts, sums = (
-            np.bincount(cell, np.repeat(v, width), nodes * width * BINS).reshape(nodes, width, BINS)
+            np.bincount(cell, np.repeat(v, tried), nodes * tried * BINS).reshape(nodes, tried, BINS)
             for v in (weight, weight * target)
         )
         count, total = counts.cumsum(2), sums.cumsum(2)
@@ -45,15 +53,13 @@ def tree_gains(codes: np.ndarray, target: np.ndarray, rng: np.random.Generator,
         fits = (count >= LEAST) & (every - count >= LEAST)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = total**2 / count + (whole - total) ** 2 / (every - count) - whole**2 / every
-        if tried < width:
-            fits &= (rng.random((nodes, width)).argsort(1).argsort(1) < tried)[:, :, None]
         gain = np.where(fits, gain, 0.0).reshape(nodes, -1)
         best = gain.argmax(1)
         value = gain[np.arange(nodes), best]
         split = value > 1e-15
         if not split.any():
             break
-        feature, cut = best // BINS, best % BINS
+        feature, cut = columns[np.arange(nodes), best // BINS], best % BINS
         np.add.at(gains, feature[split], value[split])
         stays = split[node]
         codes, weight, target, node = codes[stays], weight[stays], target[stays], node[stays]

@@ -21,10 +21,8 @@ def is_business(
     return section.isin(sections) | desk.isin(desks)
 
 
-def mentioned(keywords: dict[str, list[str]], business: Column) -> Column:
-    """Tickers an article names: by organization tag, or by text inside business news."""
-    orgs = F.lower(F.col("organizations"))
-    text = F.lower(F.concat(F.col("headline"), F.lit(" "), F.col("abstract")))
+def mentioned(keywords: dict[str, list[str]], business: Column, orgs: Column, text: Column) -> Column:
+    """Tickers an article names: by organization tag, or by text inside business news. ``orgs`` and ``text`` are in lower case."""
 
     def any_of(where: Column, words: list[str]) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(where, F.lit(word)) for word in words])
@@ -42,11 +40,16 @@ def flag_articles(
     sections: list[str] = config.BUSINESS_SECTIONS,
     desks: list[str] = config.BUSINESS_DESKS,
 ) -> DataFrame:
-    """Add ``business_ctx`` and ``tickers``; row-local, so no shuffle."""
+    """Add ``business_ctx`` and ``tickers``; row-local, so no shuffle.
+
+    Texts are put together and lowered once, in a projection of their own, and only those of business news.
+    """
+    business = F.col("business_ctx")
+    text = F.lower(F.concat(F.col("headline"), F.lit(" "), F.col("abstract")))
     flagged = articles.withColumn(
         "business_ctx", is_business(F.col("section_name"), F.col("news_desk"), sections, desks)
-    )
-    return flagged.withColumn("tickers", mentioned(keywords, F.col("business_ctx")))
+    ).withColumns({"_orgs": F.lower("organizations"), "_text": F.when(business, text)})
+    return flagged.withColumn("tickers", mentioned(keywords, business, F.col("_orgs"), F.col("_text"))).drop("_orgs", "_text")
 
 
 def relevant_text(flagged: DataFrame) -> Column:

@@ -59,22 +59,38 @@ def _slots(rows: DataFrame, top: int) -> DataFrame:
     return rows.withColumns({f"c{i}": F.coalesce(F.get("x", F.get("places", F.lit(i))), F.lit(0.0)) for i in range(top)})
 
 
-def fit_regions(rows: DataFrame, served: DataFrame, chosen: DataFrame, sets: dict[str, list[str]], top: int = config.TOP_FEATURES) -> DataFrame:
-    """(ticker, feature_set, fold, task, places, intercept, coefficients) of both linear candidates."""
+def fit_markings(
+    markings: dict[str, tuple[DataFrame, DataFrame]], chosen: DataFrame, sets: dict[str, list[str]], top: int = config.TOP_FEATURES
+) -> DataFrame:
+    """(marking, ticker, feature_set, fold, task, places, intercept, coefficients) of both linear candidates.
+
+    ``markings`` has the rows of :func:`blocks.marked` and of :func:`blocks.by_set` by name. The logistic models of all
+    markings take their Newton steps together, so a further marking adds rows to a step, but no steps.
+    """
     of = {t: chosen.where(F.col("task") == t).drop("task") for t in training.TASKS}
-    sums = blocks.training_moments(rows, sets).join(of["regression"], ["ticker", "feature_set"])
-    ridge = blocks.solve_ridge(sums, len(blocks.all_columns(sets))).drop("n").withColumn("task", F.lit("regression"))
-    train = settle(
-        _slots(blocks.training_rows(served).join(of["classification"], ["ticker", "feature_set"]), top)
-        .withColumn("_cw", weights.balanced_class("target_direction", *REGION))
-        .select(*REGION, "target_direction", "_cw", *[f"c{i}" for i in range(top)])
-    )
-    logistic = linear.fit_logistic(train, [f"c{i}" for i in range(top)], "target_direction", *REGION, weight="_cw")
+    ridges, trains = [], []
+    for name, (rows, served) in markings.items():
+        sums = blocks.training_moments(rows, sets).join(of["regression"], ["ticker", "feature_set"])
+        ridge = blocks.solve_ridge(sums, len(blocks.all_columns(sets))).drop("n")
+        ridges.append(ridge.withColumns({"task": F.lit("regression"), "marking": F.lit(name)}))
+        trains.append(
+            _slots(blocks.training_rows(served).join(of["classification"], ["ticker", "feature_set"]), top)
+            .withColumn("_cw", weights.balanced_class("target_direction", *REGION))
+            .select(F.lit(name).alias("marking"), *REGION, "target_direction", "_cw", *[f"c{i}" for i in range(top)])
+        )
+    train = settle(linear.stack(trains))
+    keys = ["marking", *REGION]
+    logistic = linear.fit_logistic(train, [f"c{i}" for i in range(top)], "target_direction", *keys, weight="_cw")
     logistic = logistic.join(of["classification"], ["ticker", "feature_set"]).select(
-        *REGION, "places", "intercept", F.slice("coefficients", F.lit(1), F.size("places")).alias("coefficients"),
+        *keys, "places", "intercept", F.slice("coefficients", F.lit(1), F.size("places")).alias("coefficients"),
         F.lit("classification").alias("task"),
     )
-    return ridge.unionByName(logistic)
+    return linear.stack([*ridges, logistic])
+
+
+def fit_regions(rows: DataFrame, served: DataFrame, chosen: DataFrame, sets: dict[str, list[str]], top: int = config.TOP_FEATURES) -> DataFrame:
+    """(ticker, feature_set, fold, task, places, intercept, coefficients) of both linear candidates."""
+    return fit_markings({"rows": (rows, served)}, chosen, sets, top).drop("marking")
 
 
 def predictions(served: DataFrame, fitted: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
@@ -155,12 +171,12 @@ def manifest(kept: DataFrame, fitted: DataFrame, sets: dict[str, list[str]]) ->
     )
 
 
-def stability(table: DataFrame, kept: DataFrame, chosen: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
-    """Full-history walk-forward rows of the kept models; without a fold the row stays, with no mean and 0 folds."""
-    rows = settle(blocks.marked(table, sets, holdout=False))
-    served = blocks.by_set(rows, sets)
-    fitted = fit_regions(rows, served, chosen, sets)
-    scores = region_metrics(predictions(served, settle(fitted), sets)).where(F.col("fold") > blocks.HOLDOUT)
+def stability(served: DataFrame, fitted: DataFrame, kept: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """Full-history walk-forward rows of the kept models; without a fold the row stays, with no mean and 0 folds.
+
+    ``served`` and ``fitted`` are of a marking without hold-out.
+    """
+    scores = region_metrics(predictions(served, fitted, sets)).where(F.col("fold") > blocks.HOLDOUT)
     keys = ["ticker", "feature_set", "task", "model"]
     stats = metrics.fold_statistics(scores.withColumn("_score", _main()), *keys, score="_score")
     joined = kept.select(*keys, F.col("metric").alias("single_window_metric")).join(stats, keys, "left")
@@ -177,12 +193,15 @@ def train(
     rows = settle(blocks.marked(table, sets))
     served = blocks.by_set(rows, sets)
     chosen = settle(choose(served, sets, top, trees))
-    fitted = settle(fit_regions(rows, served, chosen, sets, top))
+    history = settle(blocks.marked(table, sets, holdout=False))
+    walked = blocks.by_set(history, sets)
+    both = settle(fit_markings({"holdout": (rows, served), "history": (history, walked)}, chosen, sets, top))
+    fitted, refitted = (both.where(F.col("marking") == name).drop("marking") for name in ("holdout", "history"))
     compared = settle(comparison(region_metrics(predictions(served, fitted, sets))))
     won = settle(training.winners(compared))
     kept = settle(training.shipped(won))
     return Run(
-        chosen, fitted, compared, won, kept, manifest(kept, fitted, sets), stability(table, kept, chosen, sets)
+        chosen, fitted, compared, won, kept, manifest(kept, fitted, sets), stability(walked, refitted, kept, sets)
     )
 
 

@@ -227,3 +227,38 @@ def test_stream_of_many_files_keeps_session_state(spark):
     running = intraday.running_session(intraday.with_session_day(kept)).where("bar_no >= 2")
     want = intraday.snapshot_features(running, intraday.day_context(daily)).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_logistic_sums_need_no_row_sort(spark, monkeypatch):
+    """150 groups, more than an object aggregation holds in memory: only sums per batch and group are aggregated."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.logistic(size=6000) > 0).astype(int)
+    rows = [(i % 150, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    plans, keep = [], linear.settle
+    frame = keep(spark.createDataFrame(rows, "k int, a double, b double, y int"))
+    monkeypatch.setattr(linear, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    got = {r["k"]: r for r in linear.fit_logistic(frame, ["a", "b"], "y", "k").collect()}
+    steps = [p for p in plans if "MapInPandas" in p]
+    assert steps and all("MapInArrow" in p and "Aggregate [_g" in p for p in steps)
+    assert len(got) == 150 and all(r["converged"] for r in got.values())
+    for k in (0, 149):
+        own = x[k::150]
+        mean, scale = own.mean(0), own.std(0)
+        z, coef, bias = (own - mean) / scale, np.zeros(2), 0.0
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(bias + z @ coef)))
+            design = np.column_stack([np.ones(len(z)), z])
+            hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([0.0, 1.0, 1.0])
+            move = np.linalg.solve(hessian, design.T @ (y[k::150] - p) - np.append(0.0, coef))
+            bias, coef = bias + move[0], coef + move[1:]
+        assert got[k]["coefficients"] == pytest.approx(coef / scale, rel=1e-8)
+        assert got[k]["intercept"] == pytest.approx(bias - mean @ (coef / scale), rel=1e-8, abs=1e-10)
+
+
+def test_packed_is_what_unpack_reads():
+    rng = np.random.default_rng(1)
+    mean, square = rng.normal(size=4), rng.normal(size=(4, 4))
+    square = square + square.T
+    first, second = linear.unpack(linear.packed(mean, square), 4)
+    assert (first == mean).all() and (second == square).all()

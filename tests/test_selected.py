@@ -124,6 +124,44 @@ def test_kept_models_without_folds_stay(spark):
     assert run.kept.where("selection_basis = 'single_holdout_fallback'").count() == 2
 
 
+def test_tree_counts_the_tried_columns_only(monkeypatch):
+    rng, cells = np.random.default_rng(0), []
+    x = rng.normal(size=(400, 30))
+    y = (x[:, 2] > 0.3).astype(float)
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda at, *rest, **named: cells.append(len(at)) or count(at, *rest, **named))
+    share = sum(probe.tree_gains(probe.binned(x), y - y.mean(), np.random.default_rng(k), 5) for k in range(20))
+    assert share.argmax() == 2 and max(cells) <= 400 * 5
+
+
+def test_run_fits_logistic_models_of_all_regions_at_once(monkeypatch, table):
+    calls, fit = [], linear.fit_logistic
+
+    def counted(*given, **named):
+        calls.append(given[3:])
+        return fit(*given, **named)
+
+    monkeypatch.setattr(linear, "fit_logistic", counted)
+    selected.train(table, SETS, top=3, trees=5)
+    assert len(calls) == 1
+
+
+def test_markings_fitted_together_equal_each_alone(table):
+    marked = {name: settle(blocks.marked(table, SETS, holdout=name == "holdout")) for name in ("holdout", "history")}
+    pairs = {name: (rows, blocks.by_set(rows, SETS)) for name, rows in marked.items()}
+    chosen = settle(selected.choose(pairs["holdout"][1], SETS, top=3, trees=5))
+    keys = ("marking", *selected.REGION, "task")
+    together = {tuple(r[k] for k in keys): r for r in selected.fit_markings(pairs, chosen, SETS, 3).collect()}
+    alone = {}
+    for name, (rows, served) in pairs.items():
+        for r in selected.fit_regions(rows, served, chosen, SETS, 3).collect():
+            alone[name, *(r[k] for k in keys[1:])] = r
+    assert set(together) == set(alone) and len({k[0] for k in alone}) == 2
+    for key, r in alone.items():
+        assert together[key]["intercept"] == pytest.approx(r["intercept"], rel=1e-6, abs=1e-6)
+        assert together[key]["coefficients"] == pytest.approx(r["coefficients"], rel=1e-6, abs=1e-9)
+
+
 def test_normal_equations_tell_a_wrong_model(spark, table):
     rows = settle(blocks.marked(table, SETS))
     chosen = spark.createDataFrame([("A", "baseline", [0, 1, 2])], "ticker string, feature_set string, places array<int>")

@@ -43,6 +43,18 @@ def test_mentions_follow_tag_or_business_text(spark):
     assert got[2]["tickers"] == ["AAPL"] and got[3]["tickers"] == ["NVDA"] and got[4]["tickers"] == ["MSFT"]
 
 
+def test_texts_are_lowered_once(spark):
+    plan = flagged(spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(concat(") == 1
+
+
+def test_mentions_with_missing_fields(spark):
+    rows = [(1, None, "", "Apple", "ships", "NVIDIA"), (2, "Business", None, None, "Apple", "nvidia"), (3, "Business", "", "Apple", "x", None)]
+    schema = "id int, section_name string, news_desk string, headline string, abstract string, organizations string"
+    got = rows_by(news.flag_articles(spark.createDataFrame(rows, schema)), "id")
+    assert [got[k]["tickers"] for k in (1, 2, 3)] == [["NVDA"], ["NVDA"], ["AAPL"]]
+
+
 def test_scorer_sees_only_gated_texts(spark):
     def load():
         def score(texts):
